@@ -29,13 +29,27 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamarack.llm import store
+from tamarack.llm.textkit import blocks
 
 #: The split pattern published with the vocabulary, white space spelled out.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
+#: Letters and numbers newer than Unicode 16, which the tokenizers library doesn't take for such.
+NEWER = (
+    r"՘֋-֌࢏౜೜₏₝-₟꟎-꟏꟒꟔꟝꟢꟱꭬-꭭"
+    r"\U000107bb-\U000107bf\U00010940-\U00010959\U00010ec5-\U00010ec7\U00010ed9-\U00010eee\U00011b0a\U00011db0-\U00011ddb\U00011de0-\U00011de9"
+    r"\U00011df1\U0001246f\U00012475-\U0001247f\U00012550-\U00012686\U00016ea0-\U00016eb8\U00016ebb-\U00016ed3\U00016ff2-\U00016ff6"
+    r"\U000187f8-\U000187ff\U00018cd6-\U00018cda\U00018d09-\U00018d20\U00018d80-\U00018df2\U00018e00-\U00019191\U000191a0-\U000191d2"
+    r"\U0001b123-\U0001b128\U0001b168\U0001d6a6\U0001df1f-\U0001df24\U0001df2b-\U0001df81\U0001df90-\U0001df96\U0001dfcd-\U0001dfff"
+    r"\U0001e6c0-\U0001e6de\U0001e6e0-\U0001e6e2\U0001e6e4-\U0001e6e5\U0001e6e7-\U0001e6ed\U0001e6f0-\U0001e6f4\U0001e6fe-\U0001e6ff"
+    r"\U0002b73a-\U0002b73f\U0002b81e\U0002cea2-\U0002cead\U000323b0-\U00033479\U0003d000-\U0003fc3f"
+)
+_CAREFUL = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--[{NEWER}]]+| ?[\p{{N}}--[{NEWER}]]+| ?[[^\p{{White_Space}}\p{{L}}\p{{N}}]||[{NEWER}]]+|\p{{White_Space}}+(?!\P{{White_Space}})|\p{{White_Space}}+"
+#: Below this lead byte, UTF-8 has none of the newer characters.
+_NEWER_LEAD = 0xD5
 #: Words in the transducer at most; the rest is merged, so this bounds memory and changes nothing else.
 LEXICON_WORDS = 1 << 17
-BLOCK_CHARS = 2 << 20
-MEMO_WORDS = 250_000
+LOCKSTEP_BYTES = 40
+MEMO_WORDS = 180_000
 
 
 def default_vocabulary() -> str:
@@ -76,6 +90,20 @@ class Vocabulary:
         for rank, pair in enumerate(spec["model"]["merges"]):
             a, b = pair.split(" ") if isinstance(pair, str) else pair
             self.pairs.setdefault(ids[a] << 32 | ids[b], (rank, ids[a + b]))
+        key = np.array(list(self.pairs), np.int64)
+        order = np.argsort(key)
+        self._key, self._rank = key[order], order  # ranks count the distinct pairs in the order of the file
+        self._new = np.array([new for _, new in self.pairs.values()], np.int32)
+        self._first = np.array(self.first, np.int32)
+        self.lengths = np.array([len(b) for b in self.bytes_of], np.int64)
+        self.begin = np.cumsum(self.lengths) - self.lengths
+        self.pool = np.frombuffer(b"".join(self.bytes_of), np.uint8)
+
+    def text(self, ids: np.ndarray) -> str:
+        n = self.lengths[ids]
+        at = np.repeat(self.begin[ids] - (np.cumsum(n) - n), n)
+        at += np.arange(len(at))
+        return self.pool[at].tobytes().decode("utf-8", "replace")
 
     def merge(self, word: bytes) -> list[int]:
         """Exact ids of one word: the pair of lowest rank, leftmost first, until none is left."""
@@ -96,6 +124,44 @@ class Vocabulary:
                 found[k - 1] = pairs.get(ids[k - 1] << 32 | ids[k], none)
         return ids
 
+    def merge_many(self, words: list[bytes]) -> list[bytes]:
+        """The ids of many words as bytes.  Words of one length are merged in lockstep: in every
+        round each word that has a pair left merges one, so the unfinished ones stay equally wide."""
+        out: list[bytes] = [b""] * len(words)
+        lens = np.array([len(w) for w in words], np.int64)
+        for n in np.unique(lens).tolist():
+            place = np.flatnonzero(lens == n)
+            if n > LOCKSTEP_BYTES or n < 2:
+                for i in place.tolist():
+                    out[i] = np.array(self.merge(words[i]), "<u4").tobytes()
+                continue
+            ids = self._first[np.frombuffer(b"".join([words[i] for i in place.tolist()]), np.uint8).reshape(-1, n)]
+            found = self._lookup(ids[:, :-1], ids[:, 1:])
+            while len(place):
+                best = found.argmin(1) if found.shape[1] else np.zeros(len(place), np.int64)
+                more = found[np.arange(len(place)), best] < len(self._key) if found.shape[1] else np.zeros(len(place), bool)
+                raw, width = ids[~more].astype("<u4").tobytes(), 4 * ids.shape[1]
+                for k, i in enumerate(place[~more].tolist()):
+                    out[i] = raw[k * width : (k + 1) * width]
+                place, ids, found, best = place[more], ids[more], found[more], best[more]
+                if not len(place):
+                    break
+                row, at = np.arange(len(place)), np.arange(ids.shape[1] - 1)
+                new = self._new[found[row, best]]
+                ids = np.where(at <= best[:, None], ids[:, :-1], ids[:, 1:])
+                ids[row, best] = new
+                found = np.where(at[:-1] < best[:, None], found[:, :-1], found[:, 1:])
+                left, right = np.flatnonzero(best > 0), np.flatnonzero(best < ids.shape[1] - 1)
+                found[left, best[left] - 1] = self._lookup(ids[left, best[left] - 1], new[left])
+                found[right, best[right]] = self._lookup(new[right], ids[right, best[right] + 1])
+        return out
+
+    def _lookup(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """The merge rank of each pair of ids; the number of merges if there is none."""
+        want = a.astype(np.int64) << 32 | b
+        k = np.minimum(np.searchsorted(self._key, want), len(self._key) - 1)
+        return np.where(self._key[k] == want, self._rank[k], len(self._key))
+
 
 # ---------------------------------------------------------------------------- the transducer
 
@@ -191,32 +257,26 @@ class Lexicon:
             alive, state = alive[~done], state[~done]
         return place
 
-    def ids(self, place: int) -> bytes:
+    def ids(self, places: np.ndarray) -> list[bytes]:
         at = self.p["ids_at"]
-        return self.p["ids"][at[place] : at[place + 1]].tobytes()
+        raw, lo, hi = self.p["ids"].data.cast("B"), (4 * at[places]).tolist(), (4 * at[places + 1]).tolist()
+        return [bytes(raw[a:b]) for a, b in zip(lo, hi, strict=True)]
 
 
 def build_lexicon(vocabulary: Vocabulary, words: list[str]) -> bytes:
     raw = sorted({w.encode() for w in words} - {b""})
-    ids = [vocabulary.merge(w) for w in raw]
-    at = np.cumsum([0, *map(len, ids)], dtype=np.int64)
-    return pack(build_transducer(raw) | {"ids": np.array([i for x in ids for i in x], "<u4"), "ids_at": at})
+    ids = vocabulary.merge_many(raw)
+    at = np.cumsum([0, *(len(x) // 4 for x in ids)], dtype=np.int64)
+    return pack(build_transducer(raw) | {"ids": np.frombuffer(b"".join(ids), "<u4"), "ids_at": at})
 
 
 # ---------------------------------------------------------------------------- Spark side
 
 
-def _texts(column: pa.Array) -> Iterator[list[str]]:
-    part, n = [], 0
-    for x in column:
-        s = x.as_py() or ""
-        part.append(s)
-        n += len(s)
-        if n >= BLOCK_CHARS:
-            yield part
-            part, n = [], 0
-    if part:
-        yield part
+def _texts(column: pa.Array) -> Iterator[tuple[list[str], bool]]:
+    """Some texts at a time, and whether they may hold characters of NEWER."""
+    for lo, hi, data, _ in blocks(column):
+        yield [t or "" for t in column.slice(lo, hi - lo).to_pylist()], bool(len(data)) and int(data.max()) >= _NEWER_LEAD
 
 
 def _splitter(special: dict[str, int]):
@@ -226,12 +286,16 @@ def _splitter(special: dict[str, int]):
     return lambda text: inner.split(text) if any(s in text for s in special) else [text]
 
 
+def _finders():
+    return regex.compile(PATTERN).findall, regex.compile(_CAREFUL).findall
+
+
 def word_counts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text") -> DataFrame:
     """(word, n) over all documents: counted in bounded maps in the tasks, then summed."""
     special = vocabulary.special
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pattern, split = regex.compile(PATTERN), _splitter(special)
+        find, split = _finders(), _splitter(special)
         seen: Counter = Counter()
 
         def flush() -> pa.RecordBatch:
@@ -240,11 +304,11 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text")
             return out
 
         for batch in batches:
-            for texts in _texts(batch.column(0)):
+            for texts, newer in _texts(batch.column(0)):
                 for text in texts:
                     for k, part in enumerate(split(text)):
                         if not k % 2:
-                            seen.update(pattern.findall(part))
+                            seen.update(find[newer](part))
                 if len(seen) > 2 * MEMO_WORDS:
                     yield flush()
         if seen:
@@ -280,18 +344,20 @@ def encode(docs: DataFrame, vocabulary_path: str | None = None, text_col: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, lexicon = shared.value, Lexicon(mapped(SparkFiles.get(name)))
-        pattern, split = regex.compile(PATTERN), _splitter(vocab.special)
+        find, split = _finders(), _splitter(vocab.special)
         memo: dict[str, bytes] = {}
 
         def learn(new: list[str]) -> None:
             raw = [w.encode() for w in new]
-            for w, r, k in zip(new, raw, lexicon.find(raw).tolist(), strict=True):
-                memo[w] = lexicon.ids(k) if k >= 0 else np.array(vocab.merge(r), "<u4").tobytes()
+            place = lexicon.find(raw)
+            known, unseen = np.flatnonzero(place >= 0).tolist(), np.flatnonzero(place < 0).tolist()
+            memo.update(zip([new[i] for i in known], lexicon.ids(place[known]), strict=True))
+            memo.update(zip([new[i] for i in unseen], vocab.merge_many([raw[i] for i in unseen]), strict=True))
 
         for batch in batches:
             out: list[bytes] = []
-            for texts in _texts(batch.column(len(rest))):
-                parts = [[p if k % 2 else pattern.findall(p) for k, p in enumerate(split(t))] for t in texts]
+            for texts, newer in _texts(batch.column(len(rest))):
+                parts = [[p if k % 2 else find[newer](p) for k, p in enumerate(split(t))] for t in texts]
                 distinct = set().union(*(p for doc in parts for p in doc[::2]))
                 if len(memo) + len(distinct) > 2 * MEMO_WORDS:
                     memo.clear()
@@ -310,17 +376,15 @@ def decode(encoded: DataFrame, vocabulary_path: str | None = None, ids_col: str
     """All columns of ``encoded`` with the decoded text; bytes that aren't UTF-8 become U+FFFD."""
     spark = encoded.sparkSession
     store.ship_package(spark)
-    table = Vocabulary(vocabulary_path or default_vocabulary()).bytes_of
-    shared = spark.sparkContext.broadcast(table)
+    shared = spark.sparkContext.broadcast(Vocabulary(vocabulary_path or default_vocabulary()))
     names = [c for c in encoded.columns if c != "decoded"]
     where = names.index(ids_col)
     schema = T.StructType([encoded.schema[c] for c in names] + [T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pieces = shared.value
-        get = pieces.__getitem__
+        text = shared.value.text
         for batch in batches:
-            out = [b"".join(map(get, np.frombuffer(x.as_buffer(), "<u4").tolist())).decode("utf-8", "replace") if x.is_valid else "" for x in batch.column(where)]
+            out = [text(np.frombuffer(x or b"", "<u4")) for x in batch.column(where).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*names, "decoded"])
 
     return encoded.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
