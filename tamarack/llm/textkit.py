@@ -123,7 +123,7 @@ _STEP = randoms(64, 11) | np.uint64(1)
 def shingles(h: np.ndarray, k: int) -> np.ndarray:
     """Hashes of k words in a row, from each word on; the last k-1 entries cross the end."""
     out = np.zeros(len(h), np.uint64)
-    for j in range(k):
+    for j in range(min(k, len(h))):
         out[: len(h) - j] += h[j:] * _STEP[j]
     return mix(out + np.uint64(k))
 
