@@ -93,7 +93,7 @@ def _texts(column: pa.ChunkedArray | pa.Array) -> list[bytes]:
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
-def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: str = "session") -> DataFrame:
+def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256."""
     store.ship_package(docs.sparkSession)
 
@@ -114,7 +114,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    table = store.write_table(rows.mapInArrow(local, "doc_id long, gid long, head boolean, n long, text string"), "heads", scope)
+    table = store.write_table(rows.mapInArrow(local, "doc_id long, gid long, head boolean, n long, text string"), "heads")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (t := _gather(batches)) is None:

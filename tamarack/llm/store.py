@@ -8,6 +8,7 @@ that setting gets a folder of its own.
 from __future__ import annotations
 
 import atexit
+import contextlib
 import hashlib
 import os
 import tempfile
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 
 _TABLES: dict[str, list[tuple[SparkSession, str]]] = {}
 _SHIPPED: set[str] = set()
+_SCOPE = ["session"]
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -41,14 +43,24 @@ def _fs(spark: SparkSession, path: str):
     return p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), p
 
 
-def write_table(df: DataFrame, name: str, scope: str = "session") -> DataFrame:
+@contextlib.contextmanager
+def in_scope(scope: str):
+    """Tables written inside belong to ``scope``, for ``drop_scope``."""
+    _SCOPE.append(scope)
+    try:
+        yield
+    finally:
+        _SCOPE.pop()
+
+
+def write_table(df: DataFrame, name: str) -> DataFrame:
     """Writes ``df`` as Parquet in the shared folder and returns a DataFrame that reads it.
 
     The table goes when its scope is dropped, at the latest when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tamarack/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    _TABLES.setdefault(scope, []).append((spark, path))
+    _TABLES.setdefault(_SCOPE[-1], []).append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -104,14 +116,14 @@ def ship_package(spark: SparkSession) -> None:
     _SHIPPED.add(key)
 
 
-def with_row_key(df: DataFrame, id_col: str, scope: str = "session") -> DataFrame:
+def with_row_key(df: DataFrame, id_col: str) -> DataFrame:
     """Adds ``_rid``, a long that is different in every row and the same in every evaluation.
 
     Unique, non-null ids serve as they are; else the rows are numbered and written once."""
     bad = df.groupBy(id_col).agg(F.count(F.lit(1)).alias("_n")).filter(F.col(id_col).isNull() | (F.col("_n") > 1))
     if not bad.take(1):
         return df.withColumn("_rid", F.col(id_col).cast("long"))
-    return write_table(df.withColumn("_rid", F.monotonically_increasing_id()), "keyed", scope)
+    return write_table(df.withColumn("_rid", F.monotonically_increasing_id()), "keyed")
 
 
 def broadcast_if_small(df: DataFrame, rows: int, row_bytes: int, limit: int = 64 << 20) -> DataFrame:
