@@ -30,7 +30,7 @@ class SqlType:
     @property
     def data_type(self) -> T.DataType:
         if self.name == "VECTOR":
-            return T.ArrayType(T.DoubleType(), False)
+            return T.ArrayType(T.DoubleType())
         return T.StructType.fromDDL(f"x {self.spark}")[0].dataType if self.name == "OTHER" else _SPARK[self.name]
 
     def field(self, name: str) -> T.StructField:
