@@ -23,7 +23,7 @@ def components(edges: DataFrame) -> DataFrame:
         mark = (row["n"], row["h"])
         both = now.union(now.select("v", "u"))
         least = store.broadcast_if_small(both.groupBy("u").agg(F.least(F.col("u"), F.min("v")).alias("m")), 2 * row["n"], 32)
-        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         down = store.broadcast_if_small(large.groupBy("u").agg(F.min("v").alias("m")), 2 * row["n"], 32)
         small = large.join(down, "u").filter("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(down.select("u", "m"))
         now = store.write_table(small.distinct(), "edges")

@@ -6,11 +6,12 @@ minimum and maximum; ROWS minima, or ROWS maxima, of different functions make a
 functions that is 32 bands of 4: a pair of similarity 0.75 shares none with probability 5e-6.
 
 Documents with equal sets are one node from the start.  In each bucket of a band, every node is
-compared with the bucket's smallest and largest node only, on whole sets.  Buckets whose nodes are then
-in one component are done.  In the others, nodes outside the smallest node's component are compared
-with those of other components, unless the sizes, or the known distances of both to the smallest node
-(Jaccard distance is a metric), rule a link out.  So every pair that shares a band is linked, ruled out
-or already connected, and no group's pairs are all made.  Links are exact: 100 * common >= 75 * union.
+compared, on whole sets, with the bucket's smallest and largest node, then for some rounds with the node
+of the bucket that has the most links so far.  Buckets whose nodes are then in one component are done.
+What is left is an exact prefix-filtered join: nodes of open buckets in different components are compared
+if a shingle that is rare among these nodes stands early enough in both sets; all others can't be linked.
+So every pair that shares a band is linked, ruled out or already connected, and a large group of near
+copies costs a few comparisons for each copy, not all pairs.  Links are exact: 100 * common >= 75 * union.
 
 Cases: null texts and texts without words have an empty set and stay alone; equal ids, null ids and
 repeated rows are rows of their own (rows are numbered once if ids aren't unique); component_id is the
@@ -31,6 +32,7 @@ from tamarack.llm import textkit as tk
 from tamarack.llm.components import components
 
 WORDS, PERMUTATIONS, ROWS, PERCENT = 5, 64, 4, 75
+HUB_ROUNDS = 2
 _A = (tk.randoms(PERMUTATIONS, 21) >> np.uint64(32)).astype(np.uint32) | np.uint32(1)
 _B = (tk.randoms(PERMUTATIONS, 22) >> np.uint64(32)).astype(np.uint32)
 _BAND = tk.randoms(2 * PERMUTATIONS // ROWS, 23)
@@ -120,6 +122,46 @@ def _compare(pairs: DataFrame, whole: DataFrame, name: str) -> DataFrame:
     return store.write_table(both.select("a", "b", (1 - F.col("common") / union).alias("distance"), (100 * F.col("common") >= PERCENT * union).alias("linked")), name)
 
 
+def _ordered(pairs: DataFrame) -> DataFrame:
+    return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _open(places: DataFrame, root: DataFrame) -> DataFrame:
+    """(key, node, n, label) of the buckets whose nodes are in more than one component, written."""
+    labelled = places.select("key", "node", "n").join(root, "node", "left").select("key", "node", "n", F.coalesce("root", "node").alias("label"))
+    table = store.write_table(labelled, "labels")
+    keys = table.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select("key")
+    return store.write_table(table.join(keys, "key"), "open")
+
+
+def _hubs(places: DataFrame, links: DataFrame) -> DataFrame:
+    """(key, hub, hub_label): each bucket's node with the most links so far."""
+    degree = links.select(F.col("a").alias("node")).union(links.select("b")).groupBy("node").agg(F.count(F.lit(1)).alias("d"))
+    best = places.join(degree, "node", "left").groupBy("key").agg(F.max(F.struct(F.coalesce("d", F.lit(0)).alias("d"), "node", "label")).alias("m"))
+    return best.select("key", F.col("m.node").alias("hub"), F.col("m.label").alias("hub_label"))
+
+
+def _rest(places: DataFrame, whole: DataFrame, checked: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes of open buckets in different components that may be linked, by prefixes of their sets.
+
+    Shingles are put in the order of how many open nodes have them, rarest first.  Two sets with enough in common
+    for a link must meet in a shingle that stands early in both: at most (size - needed common part + 1)-th."""
+    open_ = places.groupBy("node").agg(F.first("n").alias("n"), F.first("label").alias("label"))
+    own = whole.join(open_, "node").select("node", "n", "label", F.explode("shingles").alias("s"))
+    often = own.groupBy("s").agg(F.count(F.lit(1)).alias("f")).filter("f > 1")
+    ranked = own.join(often, "s").groupBy("node", "n", "label").agg(F.array_sort(F.collect_list(F.struct("f", "s"))).alias("order"))
+    # shingles that no other node has come first of all; they take up places but meet nothing
+    alone = F.col("n") - F.size("order")
+    first = F.slice("order", 1, F.greatest(F.lit(0), F.col("n") - F.ceil(F.col("n") * PERCENT / 100) + 1 - alone).cast("int"))
+    early = store.write_table(ranked.select("node", "n", "label", alone.alias("alone"), F.posexplode(first).alias("k", "x")).select("node", "n", "label", (F.col("alone") + F.col("k") + 1).alias("at"), F.col("x.s").alias("s")), "early")
+    other = early.select(*[F.col(c).alias(f"x_{c}") for c in ("node", "n", "label", "at")], "s")
+    needed = F.ceil((F.col("n") + F.col("x_n")) * PERCENT / (100 + PERCENT))
+    may = (F.col("x_node") < F.col("node")) & (F.col("x_label") != F.col("label")) & (100 * F.least("n", "x_n") >= PERCENT * F.greatest("n", "x_n"))
+    may = may & (F.col("at") <= F.col("n") - needed + 1) & (F.col("x_at") <= F.col("x_n") - needed + 1)
+    pairs = early.join(other, "s").filter(may).select(F.col("x_node").alias("a"), F.col("node").alias("b"))
+    return _ordered(pairs).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+
+
 def clusters(docs: DataFrame) -> DataFrame:
     """(_rid, doc_id, n_shingles, component_id, keeper) of every row; ``docs`` has _rid, doc_id and text."""
     store.ship_package(docs.sparkSession)
@@ -131,23 +173,24 @@ def clusters(docs: DataFrame) -> DataFrame:
     wanted = signed.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("_rid").alias("_rid")).select("_rid")
     whole = _sets_of(docs, wanted)
     ends = members.select(F.col("node").alias("a"), F.col("lo").alias("b")).union(members.select("node", "hi")).filter("a != b")
-    checked = _compare(ends.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), whole, "ends")
+    checked = _compare(_ordered(ends), whole, "ends")
     links = checked.filter("linked").select("a", "b")
     root = components(links)
-
-    known = checked.select(F.col("b").alias("node"), F.col("a").alias("lo"), "distance")
-    labelled = members.join(root, "node", "left").withColumn("label", F.coalesce("root", "node")).drop("root", "hi")
-    open_ = labelled.groupBy("key").agg(F.min("label").alias("l"), F.max("label").alias("h")).filter("l != h").select("key")
-    labelled = labelled.join(open_, "key").join(known, ["node", "lo"], "left").withColumn("distance", F.when(F.col("node") == F.col("lo"), 0.0).otherwise(F.col("distance")))
-    table = store.write_table(labelled, "open")
-    first = table.filter("node = lo").select("key", F.col("label").alias("mine"))
-    outside = table.join(first, "key").filter("label != mine").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("label").alias("lx"), F.col("distance").alias("dx"))
-    may = (F.col("lx") != F.col("label")) & (F.col("node") != F.col("lo")) & (100 * F.least("n", "nx") >= PERCENT * F.greatest("n", "nx"))
-    may = may & (F.abs(F.col("dx") - F.col("distance")) <= (100 - PERCENT) / 100 + 1e-9)
-    rest = outside.join(table, "key").filter(may).select(F.least("x", "node").alias("a"), F.greatest("x", "node").alias("b")).distinct()
-    more = _compare(rest.join(checked.select("a", "b"), ["a", "b"], "left_anti"), whole, "rest").filter("linked").select("a", "b")
-    if more.take(1):
-        root = components(links.union(more))
+    places = _open(members, root)
+    for _ in range(HUB_ROUNDS):
+        hub = _hubs(places, links)
+        more = places.join(hub, "key").filter("label != hub_label").select(F.col("node").alias("a"), F.col("hub").alias("b"))
+        more = _ordered(more).join(checked.select("a", "b"), ["a", "b"], "left_anti")
+        met = _compare(more, whole, "hubs")
+        checked = checked.union(met)
+        if not met.filter("linked").take(1):
+            break
+        links = checked.filter("linked").select("a", "b")
+        root = components(links)
+        places = _open(places, root)
+    rest = _compare(_rest(places, whole, checked), whole, "rest").filter("linked").select("a", "b")
+    if rest.take(1):
+        root = components(links.union(rest))
 
     order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_rid")
     own = signed.filter("node is not null").groupBy("node").agg(F.min(order).alias("best"))

@@ -59,7 +59,7 @@ def write_table(df: DataFrame, name: str) -> DataFrame:
     The table goes when its scope is dropped, at the latest when the driver ends."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tamarack/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)  # its codec works on the heap, snappy's on direct buffers that only a full collection frees
     _TABLES.setdefault(_SCOPE[-1], []).append((spark, path))
     return spark.read.schema(df.schema).parquet(path)
 
