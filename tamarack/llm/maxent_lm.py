@@ -38,7 +38,7 @@ TOP, CLASS_WORDS, TAILS, HASHED = 512, 32, 32, 1 << 12
 CLASSES = TOP // CLASS_WORDS + TAILS
 START = TOP + TAILS
 IDS = START + 1
-STEPS, PRIOR, FEATURES = 25, 2.0, 4
+STEPS, PRIOR, FEATURES, PARTS = 25, 2.0, 4, 8
 BROADCAST_WORDS = 8 << 20
 MERGE_AT = 1 << 20
 END = np.uint64(0x5851F42D4C957F2D)
@@ -178,7 +178,7 @@ def _tally(rows: DataFrame, keys) -> DataFrame:
         if size:
             yield out(*_summed(parts))
 
-    return rows.mapInArrow(run, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    return rows.mapInArrow(tk.tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 _PAIR_CODES = IDS * IDS  # codes of contexts come first, then of (before, token), (before the last, class), (hash of both, class)
@@ -231,6 +231,14 @@ def _expected(w: Weights, code: np.ndarray, n: np.ndarray) -> Weights:
     return out
 
 
+def _row_of(code: np.ndarray) -> np.ndarray:
+    top = code < _PAIR_CODES
+    out = np.empty(len(code), np.int64)
+    out[top] = _rows(code[top] // IDS, code[top] % IDS)
+    out[~top] = _rows(*np.divmod(code[~top] - _PAIR_CODES, TOP // CLASS_WORDS))
+    return out
+
+
 def train(stats: DataFrame, steps: int = STEPS) -> Weights:
     """Weights from the (key, n) counts of ``_codes``; each step's expectations are computed by tasks."""
     spark = stats.sparkSession
@@ -243,21 +251,23 @@ def train(stats: DataFrame, steps: int = STEPS) -> Weights:
     w.word_bias = np.log((seen.word_bias + 1) / (seen.word_bias + 1).sum(1, keepdims=True)).astype(np.float32)
     code = np.concatenate([np.flatnonzero(contexts), _PAIR_CODES + np.flatnonzero(inside)])
     weight = np.concatenate([contexts[contexts > 0], inside[inside > 0]]).astype(np.float32)
-    parts = max(1, min(int(spark.conf.get("spark.sql.shuffle.partitions")), len(code) // (1 << 13), 16))
-    shares = spark.sparkContext.broadcast((code, weight))  # as bounded as the codes
+    parts = max(1, min(PARTS, len(code) // (1 << 12)))
+    share = _row_of(code) % parts  # by hashed row, so each part has rows of its own and sends only those
+    shares = spark.sparkContext.broadcast([(code[share == k], weight[share == k]) for k in range(parts)])  # as bounded as the codes
     for _ in range(steps):
         sent = spark.sparkContext.broadcast(w)
 
         def step(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 for k in batch.column(0).to_pylist():
-                    c, n = (x[k::parts] for x in shares.value)
-                    got = _expected(sent.value, c, n).parts()
-                    yield pa.RecordBatch.from_pydict({"name": list(got), "x": [x.astype(np.float32).tobytes() for x in got.values()]})
+                    got = {name: x[k::parts] if len(x) == HASHED else x for name, x in _expected(sent.value, *shares.value[k]).parts().items()}
+                    yield pa.RecordBatch.from_pydict({"part": pa.array([k] * len(got), pa.int64()), "name": list(got), "x": [x.astype(np.float32).tobytes() for x in got.values()]})
 
         total = {k: np.zeros(x.shape) for k, x in w.parts().items()}
-        for r in spark.range(0, parts, 1, parts).mapInArrow(step, "name string, x binary").toArrow().to_pylist():
-            total[r["name"]] += np.frombuffer(r["x"], np.float32).reshape(total[r["name"]].shape)
+        for r in spark.range(0, parts, 1, parts).mapInArrow(tk.tidy(step), "part long, name string, x binary").toArrow().to_pylist():
+            x = total[r["name"]]
+            x = x[r["part"] :: parts] if len(x) == HASHED else x
+            x += np.frombuffer(r["x"], np.float32).reshape(x.shape)
         for k, x in w.parts().items():
             slope = seen.parts()[k] - total[k] - (0 if "bias" in k else PRIOR) * x
             x += np.clip(slope / (FEATURES * total[k] + PRIOR), -1, 1).astype(np.float32)
@@ -291,7 +301,7 @@ def _with_tails(rows: DataFrame) -> DataFrame:
         if size:
             yield _token_rows(*merged())
 
-    seen = rows.mapInArrow(run, "key long, tail byte, n long")
+    seen = rows.mapInArrow(tk.tidy(run), "key long, tail byte, n long")
     return seen.groupBy("key").agg(F.min("tail").alias("tail"), F.sum("n").alias("n"))
 
 
@@ -299,6 +309,30 @@ def _token_rows(key: np.ndarray, tail: np.ndarray, n: np.ndarray) -> pa.RecordBa
     return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(tail, pa.int8()), pa.array(n, pa.int64())], names=["key", "tail", "n"])
 
 
+def _counts_table(counts: DataFrame, v: int) -> Table:
+    """All counts, sorted by token, gathered as packed arrays."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = np.minimum(batch.column(1).to_numpy(), (1 << 32) - 1).astype(np.uint32)
+            yield pa.RecordBatch.from_pydict({"key": [batch.column(0).to_numpy().tobytes()], "n": [n.tobytes()]})
+
+    wide = counts.filter(F.col("n") >= 1 << 32).select("key", "n").collect()  # a token's count rarely needs more than 32 bits
+    key, n, at = np.empty(v, np.uint64), np.empty(v, np.uint32), 0
+    for r in counts.select("key", "n").mapInArrow(tk.tidy(pack), "key binary, n binary").collect():
+        k = np.frombuffer(r["key"], np.uint64)
+        key[at : at + len(k)], n[at : at + len(k)] = k, np.frombuffer(r["n"], np.uint32)
+        at += len(k)
+    order = np.argsort(key)
+    n = n[order]
+    key.sort()
+    if wide:
+        n = n.astype(np.int64)
+        for r in wide:
+            n[np.searchsorted(key, np.array([r["key"]], np.int64).view(np.uint64))] = r["n"]
+    return Table(key, n)
+
+
 def fit(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> tuple[Scorer, DataFrame]:
     """The scorer, and the (key, tail, n) table of all training tokens' counts."""
     spark = docs.sparkSession
@@ -320,13 +354,7 @@ def fit(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> tuple[Scorer
     rest = np.ones(TAILS)
     for r in counts.filter(~F.col("key").isin([int(x) for x in top.view(np.int64)])).groupBy("tail").agg(F.sum(F.col("n") + 1).alias("n")).collect():
         rest[r["tail"]] += r["n"]
-    table = None
-    if whole["v"] <= broadcast_words:
-        t = counts.select("key", "n").toArrow()
-        key, n = t["key"].to_numpy().view(np.uint64), t["n"].to_numpy()
-        order = np.argsort(key)
-        n = n[order]
-        table = Table(key[order], n.astype(np.uint32) if n.max(initial=0) < 1 << 32 else n)
+    table = _counts_table(counts, whole["v"]) if whole["v"] <= broadcast_words else None
     return Scorer(top, rest, weights, table, whole["n"], whole["v"]), counts
 
 
@@ -359,7 +387,7 @@ def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
                     out = [np.diff(at), sums(found, at).astype(np.int64), sums(more - np.log10(m.n + m.v + 1), at), sums(m.model(ids, at) + np.where(ids >= TOP, more, 0), at)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, out)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
-        return texts.mapInArrow(run, "doc_id long, " + _OUT).select(*columns)
+        return texts.mapInArrow(tk.tidy(run), "doc_id long, " + _OUT).select(*columns)
 
     def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
@@ -378,7 +406,7 @@ def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
                 )
 
     rows = store.with_row_key(texts, "doc_id")
-    split = rows.select("_rid", "text").mapInArrow(parts, "_rid long, key long, times long, outside boolean, logp double")
+    split = rows.select("_rid", "text").mapInArrow(tk.tidy(parts), "_rid long, key long, times long, outside boolean, logp double")
     c = F.coalesce("n", F.lit(0))
     more = F.col("times") * F.log10(c + 1)
     met = split.join(counts.select("key", "n"), "key", "left").groupBy("_rid").agg(

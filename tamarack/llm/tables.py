@@ -10,7 +10,7 @@ class Table:
 
     def __init__(self, keys: np.ndarray, values: np.ndarray) -> None:
         self.keys, self.values = keys, values
-        self.bits = max(1, int(len(keys)).bit_length())
+        self.bits = max(1, int(len(keys)).bit_length() - 1)
         self.at = np.searchsorted(keys >> np.uint64(64 - self.bits), np.arange((1 << self.bits) + 1, dtype=np.uint64)).astype(np.int32)
         self.deep = int(np.diff(self.at).max(initial=0))
 
