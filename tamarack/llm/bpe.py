@@ -15,21 +15,22 @@ gives an empty result.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import os
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark import SparkFiles
+from pyspark import Broadcast, SparkFiles
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamarack.llm import store
-from tamarack.llm.textkit import blocks
+from tamarack.llm import textkit as tk
 
 #: The split pattern published with the vocabulary, white space spelled out.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
@@ -49,6 +50,7 @@ _NEWER_LEAD = 0xD5
 #: Words in the transducer at most; the rest is merged, so this bounds memory and changes nothing else.
 LEXICON_WORDS = 1 << 17
 LOCKSTEP_BYTES = 40
+DECODE_ROWS = 256
 MEMO_WORDS = 180_000
 
 
@@ -273,10 +275,10 @@ def build_lexicon(vocabulary: Vocabulary, words: list[str]) -> bytes:
 # ---------------------------------------------------------------------------- Spark side
 
 
-def _texts(column: pa.Array) -> Iterator[tuple[list[str], bool]]:
-    """Some texts at a time, and whether they may hold characters of NEWER."""
-    for lo, hi, data, _ in blocks(column):
-        yield [t or "" for t in column.slice(lo, hi - lo).to_pylist()], bool(len(data)) and int(data.max()) >= _NEWER_LEAD
+def _texts(column: pa.Array) -> Iterator[tuple[int, list[str], bool]]:
+    """Some texts at a time: the first one's row, the texts, and whether they may hold characters of NEWER."""
+    for lo, hi, data, _ in tk.blocks(column):
+        yield lo, [t or "" for t in column.slice(lo, hi - lo).to_pylist()], bool(len(data)) and int(data.max()) >= _NEWER_LEAD
 
 
 def _splitter(special: dict[str, int]):
@@ -304,7 +306,7 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text")
             return out
 
         for batch in batches:
-            for texts, newer in _texts(batch.column(0)):
+            for _, texts, newer in _texts(batch.column(0)):
                 for text in texts:
                     for k, part in enumerate(split(text)):
                         if not k % 2:
@@ -314,7 +316,7 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text")
         if seen:
             yield flush()
 
-    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(count, "word string, n long")
+    counted = docs.select(F.col(text_col).cast("string").alias("text")).mapInArrow(tk.tidy(count), "word string, n long")
     return counted.groupBy("word").agg(F.sum("n").alias("n"))
 
 
@@ -332,15 +334,15 @@ def frequent_words(counts: DataFrame, limit: int = LEXICON_WORDS) -> list[str]:
     return [r["word"] for r in table.filter(F.col("n") >= least).select("word").toLocalIterator()]
 
 
-def encode(docs: DataFrame, vocabulary_path: str | None = None, text_col: str = "text", lexicon_words: int = LEXICON_WORDS) -> DataFrame:
-    """All columns of ``docs`` but the text, with n_tokens (long) and ids (binary: little-endian unsigned 32-bit)."""
+Run = Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]
+
+
+def _encoder(docs: DataFrame, vocabulary: Vocabulary, shared: Broadcast, text_col: str, lexicon_words: int) -> tuple[DataFrame, list[T.StructField], Run]:
+    """What to send to the tasks, the columns that come back, and the function between."""
     spark: SparkSession = docs.sparkSession
-    store.ship_package(spark)
-    vocabulary = Vocabulary(vocabulary_path or default_vocabulary())
     name = store.ship_bytes(spark, build_lexicon(vocabulary, frequent_words(word_counts(docs, vocabulary, text_col), lexicon_words)), "lexicon")
-    shared = spark.sparkContext.broadcast(vocabulary)
     rest = [c for c in docs.columns if c not in (text_col, "n_tokens", "ids")]
-    schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())])
+    fields = [docs.schema[c] for c in rest] + [T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.BinaryType())]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, lexicon = shared.value, Lexicon(mapped(SparkFiles.get(name)))
@@ -355,42 +357,64 @@ def encode(docs: DataFrame, vocabulary_path: str | None = None, text_col: str =
             memo.update(zip([new[i] for i in unseen], vocab.merge_many([raw[i] for i in unseen]), strict=True))
 
         for batch in batches:
-            out: list[bytes] = []
-            for texts, newer in _texts(batch.column(len(rest))):
+            for lo, texts, newer in _texts(batch.column(len(rest))):
                 parts = [[p if k % 2 else find[newer](p) for k, p in enumerate(split(t))] for t in texts]
                 distinct = set().union(*(p for doc in parts for p in doc[::2]))
                 if len(memo) + len(distinct) > 2 * MEMO_WORDS:
                     memo.clear()
                 learn([w for w in distinct if w not in memo])
                 get = memo.__getitem__
-                for doc in parts:
-                    out.append(b"".join(b"".join(map(get, p)) if not k % 2 else vocab.special[p].to_bytes(4, "little") for k, p in enumerate(doc)))
-            ids = pa.array(out, pa.binary())
-            n = pa.array([len(x) // 4 for x in out], pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(rest))] + [n, ids], names=[*rest, "n_tokens", "ids"])
+                out = [b"".join(b"".join(map(get, p)) if not k % 2 else vocab.special[p].to_bytes(4, "little") for k, p in enumerate(doc)) for doc in parts]
+                n = pa.array([len(x) // 4 for x in out], pa.int64())
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, len(out)).columns[: len(rest)], n, pa.array(out, pa.binary())], names=[*rest, "n_tokens", "ids"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).cast("string").alias("_text")), fields, run
 
 
-def decode(encoded: DataFrame, vocabulary_path: str | None = None, ids_col: str = "ids") -> DataFrame:
-    """All columns of ``encoded`` with the decoded text; bytes that aren't UTF-8 become U+FFFD."""
-    spark = encoded.sparkSession
-    store.ship_package(spark)
-    shared = spark.sparkContext.broadcast(Vocabulary(vocabulary_path or default_vocabulary()))
-    names = [c for c in encoded.columns if c != "decoded"]
+def _decoder(shared: Broadcast, names: list[str], ids_col: str) -> Run:
     where = names.index(ids_col)
-    schema = T.StructType([encoded.schema[c] for c in names] + [T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text = shared.value.text
         for batch in batches:
-            out = [text(np.frombuffer(x or b"", "<u4")) for x in batch.column(where).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.string())], names=[*names, "decoded"])
+            for lo in range(0, batch.num_rows, DECODE_ROWS):
+                part = batch.slice(lo, DECODE_ROWS)
+                out = [text(np.frombuffer(x or b"", "<u4")) for x in part.column(where).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(out, pa.string())], names=[*names, "decoded"])
+
+    return run
+
+
+def _vocabulary(spark: SparkSession, path: str | None) -> tuple[Vocabulary, Broadcast]:
+    store.ship_package(spark)
+    vocabulary = Vocabulary(path or default_vocabulary())
+    return vocabulary, spark.sparkContext.broadcast(vocabulary)
+
 
-    return encoded.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(run, schema)
+def encode(docs: DataFrame, vocabulary_path: str | None = None, text_col: str = "text", lexicon_words: int = LEXICON_WORDS) -> DataFrame:
+    """All columns of ``docs`` but the text, with n_tokens (long) and ids (binary: little-endian unsigned 32-bit)."""
+    sent, fields, run = _encoder(docs, *_vocabulary(docs.sparkSession, vocabulary_path), text_col, lexicon_words)
+    return sent.mapInArrow(tk.tidy(run), T.StructType(fields))
+
+
+def decode(encoded: DataFrame, vocabulary_path: str | None = None, ids_col: str = "ids") -> DataFrame:
+    """All columns of ``encoded`` with the decoded text; bytes that aren't UTF-8 become U+FFFD."""
+    _, shared = _vocabulary(encoded.sparkSession, vocabulary_path)
+    names = [c for c in encoded.columns if c != "decoded"]
+    schema = T.StructType([encoded.schema[c] for c in names] + [T.StructField("decoded", T.StringType())])
+    return encoded.select(*[F.col(f"`{c}`") for c in names]).mapInArrow(tk.tidy(_decoder(shared, names, ids_col)), schema)
 
 
 def digests(docs: DataFrame, vocabulary_path: str | None = None) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document."""
-    both = decode(encode(docs.select("doc_id", "text"), vocabulary_path), vocabulary_path)
-    return both.select("doc_id", "n_tokens", F.sha2("ids", 256).alias("ids_sha256"), F.sha2(F.col("decoded").cast("binary"), 256).alias("decoded_sha256"))
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every document: encoded, decoded and hashed in one worker."""
+    vocabulary, shared = _vocabulary(docs.sparkSession, vocabulary_path)
+    sent, fields, encoding = _encoder(docs.select("doc_id", "text"), vocabulary, shared, "text", LEXICON_WORDS)
+    decoding = _decoder(shared, [f.name for f in fields], "ids")
+    hexed = lambda column: pa.array([hashlib.sha256(x).hexdigest() for x in column.cast(pa.binary()).to_pylist()], pa.string())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in decoding(encoding(batches)):
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("n_tokens"), hexed(b.column("ids")), hexed(b.column("decoded"))], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+
+    schema = T.StructType([*fields[:2], T.StructField("ids_sha256", T.StringType()), T.StructField("decoded_sha256", T.StringType())])
+    return sent.mapInArrow(tk.tidy(run), schema)
