@@ -10,6 +10,7 @@ from __future__ import annotations
 import atexit
 import contextlib
 import hashlib
+import io
 import os
 import tempfile
 import uuid
@@ -80,6 +81,16 @@ def _drop_all() -> None:
             _TABLES.pop(scope, None)
 
 
+def _put(spark: SparkSession, data: bytes, name: str) -> str:
+    """Writes a file in the shared folder and returns its address."""
+    fs, p = _fs(spark, f"{shared_root(spark)}/tamarack/files/{name}")
+    out = fs.create(p, True)
+    for at in range(0, len(data), 1 << 20):
+        out.write(bytearray(data[at : at + (1 << 20)]))
+    out.close()
+    return fs.makeQualified(p).toString()
+
+
 def ship_bytes(spark: SparkSession, data: bytes, name: str) -> str:
     """Makes ``data`` a file in every executor's file area, now and for executors that join later.
 
@@ -87,13 +98,7 @@ def ship_bytes(spark: SparkSession, data: bytes, name: str) -> str:
     name = f"{name}-{hashlib.sha256(data).hexdigest()[:24]}"
     key = f"{spark.sparkContext.applicationId}/{name}"
     if key not in _SHIPPED:
-        path = f"{shared_root(spark)}/tamarack/files/{name}"
-        fs, p = _fs(spark, path)
-        out = fs.create(p, True)
-        for at in range(0, len(data), 1 << 20):
-            out.write(bytearray(data[at : at + (1 << 20)]))
-        out.close()
-        spark.sparkContext.addFile(fs.makeQualified(p).toString())
+        spark.sparkContext.addFile(_put(spark, data, name))
         _SHIPPED.add(key)
     return name
 
@@ -106,13 +111,13 @@ def ship_package(spark: SparkSession) -> None:
     key = f"{spark.sparkContext.applicationId}/package"
     if key in _SHIPPED:
         return
-    path = os.path.join(tempfile.mkdtemp(), "tamarack_llm.zip")
-    with zipfile.ZipFile(path, "w") as z:
+    data = io.BytesIO()
+    with zipfile.ZipFile(data, "w") as z:
         for d, _, names in os.walk(os.path.join(top, "tamarack")):
             for n in sorted(names):
                 if n.endswith(".py"):
                     z.write(os.path.join(d, n), os.path.relpath(os.path.join(d, n), top))
-    spark.sparkContext.addPyFile(path)
+    spark.sparkContext.addPyFile(_put(spark, data.getvalue(), f"tamarack-{uuid.uuid4().hex}.zip"))
     _SHIPPED.add(key)
 
 
