@@ -20,37 +20,42 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def _stage(spark: SparkSession, number: int):
+    """Drops the temporary tables of the stage before, whose result is written by now, and opens a scope for this one's.
+
+    Stages' results are written with zstd, whose codec needs no direct buffers beside the executors' heap."""
+    store.drop_scope(f"stage {number - 1}")
+    spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
+    return store.in_scope(f"stage {number}")
+
+
 def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the toxicity model doesn't reject."""
-    with store.in_scope("stage 1"):
+    with _stage(spark, 1):
         return toxicity.ordinary(docs, _table(spark, sf_dir, "labels"))
 
 
 def not_copied(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the document with the largest id."""
-    store.drop_scope("stage 1")
-    with store.in_scope("stage 2"):
+    with _stage(spark, 2):
         return exact_dedup.deduplicate(docs)
 
 
 def not_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of near copies, the document with the smallest id."""
-    store.drop_scope("stage 2")
-    with store.in_scope("stage 3"):
+    with _stage(spark, 3):
         return minmax.deduplicate(docs)
 
 
 def not_leaked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no window of a benchmark item."""
-    store.drop_scope("stage 3")
-    with store.in_scope("stage 4"):
+    with _stage(spark, 4):
         return decontam.clean(docs, _table(spark, sf_dir, "benchmark"))
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256 of what is left."""
-    store.drop_scope("stage 4")
-    with store.in_scope("stage 5"):
+    with _stage(spark, 5):
         return bpe.digests(docs)
 
 

@@ -183,7 +183,7 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep
                 yield pa.RecordBatch.from_pydict({"size": pa.array(np.full(len(some), k), pa.int32()), "token": pa.array(some, pa.int64()), "n": pa.array(c[some], pa.int64())})
 
         counts = {k: np.zeros(len(t.sorted), np.int64) for k, t in index.tokens.items()}
-        for r in text_only.mapInArrow(tally, "size int, token long, n long").groupBy("size", "token").agg(F.sum("n").alias("n")).toLocalIterator():
+        for r in text_only.mapInArrow(tk.tidy(tally), "size int, token long, n long").groupBy("size", "token").agg(F.sum("n").alias("n")).toLocalIterator():
             counts[r["size"]][r["token"]] = r["n"]
         index.choose(counts)
         index.tokens, index.token_hash = {}, {}
@@ -193,12 +193,12 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep
     added = ["n_words", "n_hit", "n_items", "items"]
     rest = [c for c in docs.columns if c not in added and (keep_text or c != text_col)]
     fields = [T.StructField(c, T.LongType()) for c in added[:3]] + [T.StructField("items", T.ArrayType(T.StringType()))]
+    where = rest.index(text_col) if text_col in rest else len(rest)
     one_block = len(shared) == 1
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n_words, n_hit, items = [], [], []
-            for lo, hi, data, offs in tk.blocks(batch.column(len(rest))):
+            for lo, hi, data, offs in tk.blocks(batch.column(where)):
                 low, s, e, h, at = tk.words(data, offs, tk.ALNUM)
                 cover = np.zeros(len(h) + 1, np.int64)
                 names: dict[int, set[str]] = defaultdict(set)
@@ -212,14 +212,13 @@ def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep
                     if not one_block:
                         b.__dict__.pop("_value", None)  # read again from the worker's disk when it's next needed
                 hit = np.concatenate([[0], np.cumsum(np.cumsum(cover)[:-1] > 0)])
-                n_words += np.diff(at).tolist()
-                n_hit += (hit[at[1:]] - hit[at[:-1]]).tolist()
-                items += [sorted(names.get(i, ())) for i in range(hi - lo)]
-            more = [pa.array(n_words, pa.int64()), pa.array(n_hit, pa.int64()), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string()))]
-            yield pa.RecordBatch.from_arrays([batch.column(k) for k in range(len(rest))] + more, names=[*rest, *added])
+                items = [sorted(names.get(i, ())) for i in range(hi - lo)]
+                more = [pa.array(np.diff(at)), pa.array(hit[at[1:]] - hit[at[:-1]]), pa.array([len(x) for x in items], pa.int64()), pa.array(items, pa.list_(pa.string()))]
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[: len(rest)], *more], names=[*rest, *added])
 
     schema = T.StructType([docs.schema[c] for c in rest] + fields)
-    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(f"`{text_col}`").cast("string").alias("_text")).mapInArrow(run, schema)
+    sent = [F.col(f"`{c}`") for c in rest] + ([] if text_col in rest else [F.col(f"`{text_col}`").cast("string").alias("_text")])
+    return docs.select(*sent).mapInArrow(tk.tidy(run), schema)
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tamarack.llm import store
+from tamarack.llm import textkit as tk
 
 FIRST_WIDTH, WIDEST = 8, 1 << 16
 BUCKET_BYTES = 32 << 20
@@ -84,7 +85,7 @@ def route(df: DataFrame, text: str) -> DataFrame:
     return df.repartition(buckets, key)
 
 
-def _gather(batches: Iterator[pa.RecordBatch], schema: pa.Schema | None = None) -> pa.Table | None:
+def _gather(batches: Iterator[pa.RecordBatch]) -> pa.Table | None:
     got = [b for b in batches if b.num_rows]
     return pa.Table.from_batches(got).combine_chunks() if got else None
 
@@ -114,7 +115,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
             )
 
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    table = store.write_table(rows.mapInArrow(local, "doc_id long, gid long, head boolean, n long, text string"), "heads")
+    table = store.write_table(rows.mapInArrow(tk.tidy(local), "doc_id long, gid long, head boolean, n long, text string"), "heads")
 
     def whole(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if (t := _gather(batches)) is None:
@@ -131,7 +132,7 @@ def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "t
         yield pa.RecordBatch.from_arrays([pa.array(v, pa.string() if k == "text_sha256" else pa.int64()) for k, v in out.items()], names=list(out))
 
     heads = table.filter("head").select("doc_id", "gid", "n", "text")
-    groups = route(heads, "text").mapInArrow(whole, "gid long, keep_id long, keep_gid long, group_size long, text_sha256 string")
+    groups = route(heads, "text").mapInArrow(tk.tidy(whole), "gid long, keep_id long, keep_gid long, group_size long, text_sha256 string")
     kept = F.col("head") & (F.col("gid") == F.col("keep_gid"))
     return table.select("doc_id", "gid", "head").join(groups, "gid").select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
 
@@ -152,4 +153,4 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             yield from local(iter(t.to_batches()))
 
     schema = T.StructType(docs.schema.fields)
-    return route(docs.mapInArrow(local, schema), text_col).mapInArrow(whole, schema)
+    return route(docs.mapInArrow(tk.tidy(local), schema), text_col).mapInArrow(tk.tidy(whole), schema)

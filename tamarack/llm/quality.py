@@ -202,7 +202,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = labelled.MAX_LABELLED)
                 x = features(data, offs)
                 yield pa.RecordBatch.from_arrays([batch.column(1).slice(lo, hi - lo), pa.array([r.tobytes() for r in x], pa.binary())], names=["label", "x"])
 
-    t = rows.mapInArrow(measure, "label int, x binary").toArrow()
+    t = rows.mapInArrow(tk.tidy(measure), "label int, x binary").toArrow()
     x = np.frombuffer(b"".join(t["x"].to_pylist()), np.float32).reshape(-1, len(NAMES))
     order = np.lexsort(x.T)  # the model doesn't depend on the order in which rows arrive
     return boost(x[order].astype(float), (t["label"].to_numpy() > 0).astype(float)[order])
@@ -217,8 +217,8 @@ def judged(docs: DataFrame, labels: DataFrame, cut: float = CUT) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            scores = [shared.value.score(features(data, offs)) for _, _, data, offs in tk.blocks(batch.column(1))]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())], names=["doc_id", "score"])
+            for lo, hi, data, offs in tk.blocks(batch.column(1)):
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(shared.value.score(features(data, offs)))], names=["doc_id", "score"])
 
-    scored = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, schema)
+    scored = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(tk.tidy(run), schema)
     return scored.select("doc_id", (labelled.fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"))

@@ -59,7 +59,7 @@ def _type_counts(rows: DataFrame) -> DataFrame:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             label = batch.column(1).to_numpy(zero_copy_only=False) > 0
-            for lo, hi, data, offs in tk.blocks(batch.column(0), 8 << 20):
+            for lo, hi, data, offs in tk.blocks(batch.column(0)):
                 found, at = _expressions(data, offs)
                 doc = tk.owner(at, len(found[0][0]))
                 shorter = np.zeros((len(BEGINNINGS), len(doc)), np.uint64)
@@ -79,7 +79,7 @@ def _type_counts(rows: DataFrame) -> DataFrame:
                     columns = [distinct.view(np.int64), np.full(len(distinct), k), *(shorter[j, one].view(np.int64) if j >= k else np.zeros(len(distinct), np.int64) for j in range(len(BEGINNINGS))), n - toxic, toxic]
                     yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=_COLUMNS)
 
-    counted = rows.select("text", "label").mapInArrow(count, ", ".join(f"{c} long" for c in _COLUMNS))
+    counted = rows.select("text", "label").mapInArrow(tk.tidy(count), ", ".join(f"{c} long" for c in _COLUMNS))
     return counted.groupBy("key").agg(*[F.min(c).alias(c) for c in _COLUMNS[1:-2]], *[F.sum(c).alias(c) for c in _COLUMNS[-2:]])
 
 
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = labelled.MAX_LABELLED)
                 columns = [batch.column(1).slice(lo, hi - lo), pa.array(got[0][1], pa.int64()), pa.array(np.stack([g[0] for g in got], 1).tolist(), pa.list_(pa.float64()))]
                 yield pa.RecordBatch.from_arrays(columns, names=["label", "n", "sums"])
 
-    t = rows.filter(F.col("fold") == CALIBRATION).select("text", "label").mapInArrow(measure, "label int, n long, sums array<double>").toArrow()
+    t = rows.filter(F.col("fold") == CALIBRATION).select("text", "label").mapInArrow(tk.tidy(measure), "label int, n long, sums array<double>").toArrow()
     y, length, sums = (t["label"].to_numpy() > 0).astype(float), t["n"].to_numpy(), np.array(t["sums"].to_pylist())
     best = None
     for k, ratios in enumerate(models):
@@ -193,35 +193,34 @@ def fit(docs: DataFrame, labels: DataFrame, bound: int = labelled.MAX_LABELLED)
     return best[1]
 
 
-def score(docs: DataFrame, model: Model, keep: bool = False) -> DataFrame:
-    """doc_id (or with ``keep`` all columns of ``docs``) and ``toxicity``, a double."""
+def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:
+    """The columns of ``keep`` and ``toxicity``, a double; ``docs`` has a string column text."""
     spark = docs.sparkSession
     store.ship_package(spark)
     shared = spark.sparkContext.broadcast(model)
-    rest = [c for c in docs.columns if c != "toxicity"] if keep else ["doc_id"]
-    schema = T.StructType([docs.schema[c] for c in rest] + [T.StructField("toxicity", T.DoubleType())])
+    sent = keep if "text" in keep else [*keep, "text"]
+    where = sent.index("text")
+    schema = T.StructType([docs.schema[c] for c in keep] + [T.StructField("toxicity", T.DoubleType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         for batch in batches:
-            scores = [m.score(*m.evidence(*_expressions(data, offs))) for _, _, data, offs in tk.blocks(batch.column(len(rest)))]
-            own = pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(rest)], own], names=[*rest, "toxicity"])
+            for lo, hi, data, offs in tk.blocks(batch.column(where)):
+                own = pa.array(m.score(*m.evidence(*_expressions(data, offs))))
+                yield pa.RecordBatch.from_arrays([*batch.slice(lo, hi - lo).columns[: len(keep)], own], names=[*keep, "toxicity"])
 
-    return docs.select(*[F.col(f"`{c}`") for c in rest], F.col("text").cast("string").alias("_text")).mapInArrow(run, schema)
+    return docs.select(*sent).mapInArrow(tk.tidy(run), schema)
 
 
 def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every document."""
     store.ship_package(docs.sparkSession)
-    scored = score(docs.select("doc_id", "text"), fit(docs, labels))
+    scored = score(docs.select("doc_id", F.col("text").cast("string").alias("text")), fit(docs, labels), ["doc_id"])
     return scored.select("doc_id", (labelled.fold("doc_id", FOLDS) == HELD_OUT).alias("held_out"), F.col("toxicity").alias("score"), (F.col("toxicity") >= 0.5).cast("int").alias("predicted"))
 
 
 def ordinary(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of ``docs`` that aren't judged toxic, all columns as they are."""
     store.ship_package(docs.sparkSession)
-    names = [f"_c{k}" for k in range(len(docs.columns))]
-    model = fit(docs, labels)
-    named = docs.toDF(*names).withColumn("text", F.col(names[docs.columns.index("text")]))
-    return score(named, model, keep=True).filter("toxicity < 0.5").select(*names).toDF(*docs.columns)
+    names = ["text" if c == "text" else f"_c{k}" for k, c in enumerate(docs.columns)]
+    return score(docs.toDF(*names), fit(docs, labels), names).filter("toxicity < 0.5").select(*names).toDF(*docs.columns)
