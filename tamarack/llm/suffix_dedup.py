@@ -35,8 +35,9 @@ from tamarack.llm import store
 from tamarack.llm import textkit as tk
 
 LENGTH, GRAM = 200, 24
-SHARD_BYTES, PARTITION_BYTES = 2 << 20, 8 << 20
+RUN_BYTES, SHARD_BYTES, PARTITION_BYTES = 1 << 20, 3 << 19, 8 << 20
 _SPAN = np.uint64(0xA0761D6478BD642F)
+_LIMITS = [np.uint64(1 << (8 * k)) for k in range(8)]
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -77,13 +78,18 @@ def runs(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = G
 
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions sorted by ``depth`` bytes at least (fewer at the end), and each position's rank."""
-    n = len(text)
-    padded = np.concatenate([text, np.zeros(8, np.uint8)])
+    key = _words(text, 0)
+    return _refine(np.argsort(key, kind="stable"), key, depth)
+
+
+def _words(text: np.ndarray, more: int) -> np.ndarray:
+    """Eight bytes from each position on as one number, zeros after the end; ``more`` positions beyond it."""
+    n = len(text) + more
+    padded = np.concatenate([text, np.zeros(more + 8, np.uint8)])
     key = np.zeros(n, np.uint64)
     for k in range(8):
         key = key << np.uint64(8) | padded[k : n + k]
-    sa = np.argsort(key, kind="stable")
-    return _refine(sa, key, depth)
+    return key
 
 
 def _ranks(ordered: np.ndarray) -> np.ndarray:
@@ -126,7 +132,7 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int, starts: np.ndarr
     rank[sa] = np.arange(n)
     before = np.full(n, -1, np.int64)
     before[sa[1:]] = sa[:-1]
-    padded = np.concatenate([text, np.zeros(cap + 8, np.uint8)])
+    words = _words(text, cap + 8)
     out = np.zeros(n, np.int64)
     lanes = np.argsort(-sizes, kind="stable")
     starts, sizes = starts[lanes], sizes[lanes]
@@ -140,10 +146,11 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int, starts: np.ndarr
         room = np.minimum(cap, n - np.maximum(i, j))
         go = np.flatnonzero((j >= 0) & (have < room))
         while len(go):
-            same = padded[i[go] + have[go]] == padded[j[go] + have[go]]
-            go = go[same]
-            have[go] += 1
-            go = go[have[go] < room[go]]
+            differ = words[i[go] + have[go]] ^ words[j[go] + have[go]]
+            same = sum((differ < limit).astype(np.int64) for limit in _LIMITS)  # equal bytes from the left
+            have[go] += same
+            go = go[(same == 8) & (have[go] < room[go])]
+        have = np.minimum(have, room)
         out[rank[i]] = have
     return out
 
@@ -235,7 +242,7 @@ def _runs_of(docs: DataFrame, combine: bool) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rid = batch.column(0).to_numpy()
-            for lo, _, data, offs in tk.blocks(batch.column(1)):
+            for lo, _, data, offs in tk.blocks(batch.column(1), RUN_BYTES):
                 r = runs(data, offs)
                 keep, times = slice(None), np.ones(len(r["doc"]), np.int64)
                 if combine:
@@ -243,7 +250,7 @@ def _runs_of(docs: DataFrame, combine: bool) -> DataFrame:
                 columns = [r["anchor"][keep].view(np.int64), r["span"][keep].view(np.int64), rid[lo + r["doc"][keep]], r["first"][keep].astype(np.int32), r["n"][keep].astype(np.int32), times.astype(np.int64)]
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "span", "_rid", "first", "n", "times"])
 
-    return docs.select("_rid", "text").mapInArrow(run, "anchor long, span long, _rid long, first int, n int, times long")
+    return docs.select("_rid", "text").mapInArrow(tk.tidy(run), "anchor long, span long, _rid long, first int, n int, times long")
 
 
 def _bytes_of(docs: DataFrame, spans: DataFrame) -> DataFrame:
@@ -260,7 +267,7 @@ def _bytes_of(docs: DataFrame, spans: DataFrame) -> DataFrame:
                 cut = [raw[a : a + n + LENGTH - 1] for a, n in zip(s["first"].to_pylist(), s["n"].to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([s["anchor"], s["span"], s["times"], pa.array(cut, pa.binary())], names=["anchor", "span", "times", "bytes"])
 
-    return rows.mapInArrow(run, "anchor long, span long, times long, bytes binary")
+    return rows.mapInArrow(tk.tidy(run), "anchor long, span long, times long, bytes binary")
 
 
 def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -318,7 +325,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     size = several.agg(F.sum(F.col("n") + LENGTH).alias("b")).first()["b"] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
     sharded = _bytes_of(docs, several).repartition(parts, "anchor").sortWithinPartitions("anchor")
-    sorted_out = sharded.mapInArrow(_sorted_out, "span long, covers array<int>").filter(F.size("covers") > 0)
+    sorted_out = sharded.mapInArrow(tk.tidy(_sorted_out), "span long, covers array<int>").filter(F.size("covers") > 0)
     back = store.write_table(whole.union(sorted_out), "covers")
     few = store.broadcast_if_small(back, back.count(), 48, 32 << 20)
     placed = _runs_of(docs, combine=False).select("_rid", "span", "first").join(few, "span")
@@ -355,7 +362,7 @@ def remove_repeats(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept"])
 
     joined = rows.join(few, "_rid", "left").select("doc_id", "text", "covers")
-    return joined.mapInArrow(run, "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
+    return joined.mapInArrow(tk.tidy(run), "doc_id long, n_bytes long, n_removed long, n_spans long, kept binary")
 
 
 def digests(docs: DataFrame) -> DataFrame:
