@@ -94,7 +94,7 @@ def _signed(docs: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(columns, names=["_rid", "doc_id", "n", "node", "bands"])
 
     rows = docs.select("_rid", "doc_id", F.col("text").cast("string").alias("text"))
-    return store.write_table(rows.mapInArrow(run, "_rid long, doc_id long, n long, node long, bands array<long>"), "signatures")
+    return store.write_table(rows.mapInArrow(tk.tidy(run), "_rid long, doc_id long, n long, node long, bands array<long>"), "signatures")
 
 
 def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -110,7 +110,7 @@ def _sets_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
     few = store.broadcast_if_small(wanted, wanted.count(), 24)
     rows = docs.join(few, "_rid", "left_semi").select(F.col("text").cast("string").alias("text"))
-    return store.write_table(rows.mapInArrow(run, "node long, shingles array<long>"), "sets")
+    return store.write_table(rows.mapInArrow(tk.tidy(run), "node long, shingles array<long>"), "sets")
 
 
 def _compare(pairs: DataFrame, whole: DataFrame, name: str) -> DataFrame:
@@ -170,7 +170,8 @@ def clusters(docs: DataFrame) -> DataFrame:
     shared = store.write_table(keyed.groupBy("key").agg(F.min("node").alias("lo"), F.max("node").alias("hi")).filter("lo != hi"), "buckets")
     few = store.broadcast_if_small(shared, shared.count(), 40)
     members = store.write_table(keyed.join(few, "key").distinct(), "members")
-    wanted = signed.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.min("_rid").alias("_rid")).select("_rid")
+    first = signed.filter("node is not null").groupBy("node").agg(F.min("_rid").alias("_rid"))  # copies meet before the shuffle
+    wanted = first.join(members.select("node").distinct(), "node", "left_semi").select("_rid")
     whole = _sets_of(docs, wanted)
     ends = members.select(F.col("node").alias("a"), F.col("lo").alias("b")).union(members.select("node", "hi")).filter("a != b")
     checked = _compare(_ordered(ends), whole, "ends")
