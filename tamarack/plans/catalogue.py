@@ -159,6 +159,12 @@ def join_int_double_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ops.project(ops.filter_rows(ops.join_inner(t, p, C("l_quantity") == C("p_size")), C("l_orderkey") < 50), *map(C, KEYS), C("p_partkey"))
 
 
+@register("SELECT l_quantity, count(*) AS n, CAST(sum(p_partkey) AS BIGINT) AS s FROM lineitem JOIN part ON l_quantity = p_size GROUP BY 1")
+def join_int_double_whole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, p = _pair(spark, sf_dir, "lineitem", "part")
+    return ops.aggregate(ops.join_inner(t, p, C("l_quantity") == C("p_size")), [C("l_quantity")], [F.count(F.lit(1)).alias("n"), F.sum("p_partkey").alias("s")])
+
+
 @register("SELECT c_custkey, n_nationkey FROM customer JOIN nation ON c_nationkey + 1 = n_nationkey * 1")
 def join_expression_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
     c, n = _pair(spark, sf_dir, "customer", "nation")
