@@ -184,6 +184,8 @@ _ALL = [(k, True) for k in KEYS]
 _simple("order_multi", lambda t: ops.project(ops.order_by(t, ("n_regionkey", False), ("n_name", True)), C("n_regionkey"), C("n_name")), "SELECT n_regionkey, n_name FROM nation ORDER BY 1 DESC, 2", "nation")
 _simple("order_nulls", lambda t: ops.project(ops.top_k(_holed(t), 9000, ("h", True), *_ALL), C("h"), *map(C, KEYS)), f"SELECT h, {_ROW} FROM {_HOLED} ORDER BY h NULLS FIRST, {_ROW} LIMIT 9000")
 _simple("order_nulls_desc", lambda t: ops.project(ops.top_k(_holed(t), 500, ("h", False), *_ALL), C("h"), *map(C, KEYS)), f"SELECT h, {_ROW} FROM {_HOLED} ORDER BY h DESC NULLS LAST, {_ROW} LIMIT 500")
+_simple("order_nulls_whole", lambda t: ops.project(ops.order_by(_holed(t), ("h", True), *_ALL), C("h"), *map(C, KEYS)), f"SELECT h, {_ROW} FROM {_HOLED} ORDER BY h NULLS FIRST, {_ROW}")
+_simple("order_nulls_desc_whole", lambda t: ops.project(ops.order_by(_holed(t), ("h", False), *_ALL), C("h"), *map(C, KEYS)), f"SELECT h, {_ROW} FROM {_HOLED} ORDER BY h DESC NULLS LAST, {_ROW}")
 _simple("topk", lambda t: ops.project(ops.top_k(t, 10, ("l_extendedprice", False), *_ALL), C("l_extendedprice"), *map(C, KEYS)), f"SELECT l_extendedprice, {_ROW} FROM lineitem ORDER BY l_extendedprice DESC, {_ROW} LIMIT 10")
 _simple("topk_group", lambda t: ops.top_k(ops.aggregate(t, [C("l_partkey")], [F.count(F.lit(1)).alias("n")]), 7, ("n", False), ("l_partkey", True)), "SELECT l_partkey, count(*) AS n FROM lineitem GROUP BY 1 ORDER BY n DESC, l_partkey LIMIT 7")
 _simple("limit_count", lambda t: ops.aggregate(ops.limit(t, 1234), [], [F.count(F.lit(1)).alias("n")]), "SELECT count(*) AS n FROM (SELECT * FROM lineitem LIMIT 1234)")

@@ -2,6 +2,8 @@
 
 from collections import Counter, defaultdict
 
+import pytest
+
 from tamarack.plans import catalogue
 
 
@@ -13,3 +15,12 @@ def test_int_double_join_takes_the_whole_table(spark, sf):
     want = sorted((q, n * len(parts[q]), n * sum(parts[q])) for q, n in quantity.items() if parts[q])
     made = sorted(map(tuple, catalogue.QUERIES["join_int_double_whole"](spark, sf).collect()))
     assert made == want and sum(n for _, n, _ in made) > sum(quantity.values())
+
+
+@pytest.mark.parametrize(("name", "up"), [("order_nulls_whole", True), ("order_nulls_desc_whole", False)])
+def test_whole_table_is_sorted_with_its_nulls(spark, sf, name, up):
+    rows = [(None if r[1] == 3 else r[1], *r) for r in catalogue.table(spark, sf, "lineitem").select(*catalogue.KEYS).collect()]
+    want = sorted(rows, key=lambda r: ((r[0] or 0) if up else -(r[0] or 0), *r[1:]))
+    made = list(map(tuple, catalogue.QUERIES[name](spark, sf).collect()))
+    assert made == want
+    assert {r[0] is None for r in made} == {True, False} and (made[0][0] is None) == up and (made[-1][0] is None) != up
