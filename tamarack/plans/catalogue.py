@@ -252,6 +252,9 @@ _sql("sql_div_zero", "SELECT l_orderkey AS k, l_quantity / l_discount AS d FROM
 _sql("sql_bool", "SELECT l_orderkey AS k, (l_quantity > 10 AND l_tax < 0.05) = false AS b, l_returnflag = 3 AS never FROM lineitem WHERE l_orderkey < 100 OR l_returnflag = 'A' AND l_quantity >= 49.0",
      "SELECT l_orderkey AS k, NOT (l_quantity > 10 AND l_tax < 0.05) AS b, false AS never FROM lineitem WHERE l_orderkey < 100 OR l_returnflag = 'A' AND l_quantity >= 49")
 _sql("sql_null", "SELECT count(*) AS n FROM lineitem WHERE l_tax = null OR l_orderkey < 10")
+_sql("sql_bool_values", "SELECT l_orderkey AS k, (l_quantity > 10 AND l_tax < 0.05) = false AS b, l_returnflag = 3 AS never FROM lineitem WHERE l_quantity < 5 OR l_returnflag = 'A' AND l_quantity >= 49.0",
+     "SELECT l_orderkey AS k, NOT (l_quantity > 10 AND l_tax < 0.05) AS b, false AS never FROM lineitem WHERE l_quantity < 5 OR l_returnflag = 'A' AND l_quantity >= 49")
+_sql("sql_null_values", "SELECT count(*) AS n FROM lineitem WHERE l_tax = null OR l_discount < 0.05")
 _sql("sql_group", "SELECT l_returnflag AS f, l_linestatus AS s, sum(l_linenumber) AS q, sum(l_partkey) / count(*) AS m FROM lineitem GROUP BY l_returnflag, l_linestatus ORDER BY q DESC, f",
      "SELECT l_returnflag AS f, l_linestatus AS s, CAST(sum(l_linenumber) AS BIGINT) AS q, CAST(sum(l_partkey) AS DOUBLE) / count(*) AS m FROM lineitem GROUP BY 1, 2")
 _sql("sql_group_expr", "SELECT l_linenumber * 2 AS k, max(l_shipdate) AS hi, min(l_returnflag) AS lo FROM lineitem GROUP BY k")
@@ -302,6 +305,11 @@ def lake_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _lake(spark, sf_dir).scan(["l_orderkey", "l_quantity * 2 AS q"], "l_returnflag = 'R' AND l_partkey < 300")
 
 
+@register("SELECT l_orderkey, l_quantity * 2 AS q FROM lineitem WHERE l_returnflag = 'R' AND l_quantity < 30")
+def lake_filter_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lake(spark, sf_dir).scan(["l_orderkey", "l_quantity * 2 AS q"], "l_returnflag = 'R' AND l_quantity < 30")
+
+
 @register("SELECT l_orderkey, l_partkey, l_quantity, l_returnflag FROM lineitem WHERE l_orderkey % 4 < 2")
 def lake_time_travel(spark: SparkSession, sf_dir: str) -> DataFrame:
     t = _lake(spark, sf_dir)

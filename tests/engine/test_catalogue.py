@@ -24,3 +24,12 @@ def test_whole_table_is_sorted_with_its_nulls(spark, sf, name, up):
     made = list(map(tuple, catalogue.QUERIES[name](spark, sf).collect()))
     assert made == want
     assert {r[0] is None for r in made} == {True, False} and (made[0][0] is None) == up and (made[-1][0] is None) != up
+
+
+def test_predicates_on_values_keep_a_share_of_the_table(spark, sf):
+    rows = [tuple(r) for r in catalogue.table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_tax", "l_discount", "l_returnflag").collect()]
+    made = {name: sorted(map(tuple, catalogue.QUERIES[name](spark, sf).collect())) for name in ("sql_bool_values", "sql_null_values", "lake_filter_values")}
+    assert made["sql_bool_values"] == sorted((k, not (q > 10 and t < 0.05), False) for k, q, t, _, f in rows if q < 5 or (f == "A" and q >= 49))
+    assert made["sql_null_values"] == [(sum(d < 0.05 for *_, d, _ in rows),)]
+    assert made["lake_filter_values"] == sorted((k, q * 2) for k, q, _, _, f in rows if f == "R" and q < 30)
+    assert min(len(made["sql_bool_values"]), made["sql_null_values"][0][0], len(made["lake_filter_values"])) > len(rows) // 20
