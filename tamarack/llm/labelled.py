@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tamarack.llm import store
+
 #: Labelled rows that a classifier is fitted on at most (in expectation; the sample is by a hash of the id).
 MAX_LABELLED = 24_000
 
@@ -24,6 +26,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, folds: int, he
     n = own.count()
     if n > bound:
         own = own.filter(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) < int((1 << 30) * bound / n))
-    own = F.broadcast(own)  # about ``bound`` pairs of small numbers at most
+    own = store.broadcast_if_small(own, own.count(), 24)
     texts = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     return texts.join(own, "doc_id").select("text", "label", fold("doc_id", folds).alias("fold"), "doc_id")
