@@ -56,6 +56,19 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_bpe, op2_decontamination, op3_quality, op4_exact_dedup, op5_maxent_lm, op6_suffix_array, op7_minmax, op8_url_filter, op9_chat, op10_toxicity)}
 
 ORACLES: dict[str, str] = {
+    "op6_suffix_array": r"""
+        WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+        c AS (SELECT doc_id, p, substr(h, 2 * p + 1, 2446) AS s FROM (SELECT doc_id, h, unnest(range(0, len(h) // 2 - 199, 1024)) AS p FROM d WHERE len(h) >= 400)),
+        w AS (SELECT doc_id, p + k AS k, substr(s, 2 * k + 1, 400) AS x FROM (SELECT doc_id, p, s, unnest(range(0, least(1024, len(s) // 2 - 199))) AS k FROM c)),
+        g AS (SELECT doc_id, k FROM w SEMI JOIN (SELECT x FROM w GROUP BY x HAVING count(*) > 1) r USING (x)),
+        m AS (SELECT doc_id, k, CAST(k > lag(k, 1, -1000) OVER (PARTITION BY doc_id ORDER BY k) + 200 AS INTEGER) AS new FROM g),
+        i AS (SELECT doc_id, k, sum(new) OVER (PARTITION BY doc_id ORDER BY k) AS n FROM m),
+        spans AS (SELECT doc_id, min(k) AS a, max(k) + 200 AS b FROM i GROUP BY doc_id, n),
+        e AS (SELECT doc_id, a, b, lag(b, 1, 0) OVER (PARTITION BY doc_id ORDER BY a) AS z FROM spans),
+        k AS (SELECT e.doc_id, sum(b - a) AS gone, count(*) AS n, max(b) AS z, string_agg(substr(h, 2 * z + 1, 2 * (a - z)), '' ORDER BY a) AS kept FROM e JOIN d USING (doc_id) GROUP BY e.doc_id)
+        SELECT d.doc_id, CAST(len(h) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(gone, 0) AS BIGINT) AS n_removed, coalesce(n, 0) AS n_spans,
+               sha256(unhex(coalesce(kept, '') || substr(h, 2 * coalesce(z, 0) + 1))) AS kept_sha256
+        FROM d LEFT JOIN k USING (doc_id)""",
     "op7_minmax": r"""
         WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
         s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[k : k + 4], ' ') FOR k IN range(1, len(w) - 3)] WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS x FROM d),

@@ -50,13 +50,38 @@ def passages(seed):
     return rows
 
 
-@pytest.mark.parametrize(("seed", "shard"), [(1, 2 << 20), (2, 900), (3, 3000)])
-def test_passages(spark, monkeypatch, seed, shard):
+@pytest.mark.parametrize(("seed", "shard", "group"), [(1, 2 << 20, 1 << 20), (2, 900, 1 << 20), (3, 3000, 2000), (4, 500, 600), (5, 1 << 20, 1)])
+def test_passages(spark, monkeypatch, seed, shard, group):
     monkeypatch.setattr(sd, "SHARD_BYTES", shard)
+    monkeypatch.setattr(sd, "GROUP_BYTES", group)
     rows = passages(seed)
     assert got(spark.createDataFrame(rows, DOCS).repartition(3)) == brute(rows)
 
 
+def test_one_line_between_varied_neighbours(spark, monkeypatch):
+    """A line in every text makes one anchor's spans a large group; it is split, and only true repeats go."""
+    monkeypatch.setattr(sd, "GROUP_BYTES", 20_000)
+    draw = random.Random(8)
+    make = lambda n: "".join(draw.choice("abcdefgh ") for _ in range(n))
+    line, long_line = make(90), make(230)
+    rows = [(k, make(250) + (line if k % 3 else long_line) + make(250)) for k in range(300)]
+    rows += [(300 + k, rows[k * 7][1][:500]) for k in range(20)]
+    assert got(spark.createDataFrame(rows, DOCS).repartition(3)) == brute(rows)
+
+
+def test_merge_across_shards():
+    """Each half of the spans in a shard of its own, or all in one: the counts are the same."""
+    draw = random.Random(3)
+    parts = ["".join(draw.choice("ab") for _ in range(60)) for _ in range(5)]
+    spans = [("".join(draw.choice(parts) for _ in range(3))).encode() for _ in range(40)]
+    whole = sd.Shard(spans, np.ones(40), 100)
+    for cuts in ([0, 20, 40], [0, 7, 8, 30, 40]):
+        shards = [sd.Shard(spans[a:b], np.ones(b - a), 100) for a, b in zip(cuts, cuts[1:], strict=False)]
+        sd.merge([(s, list(range(len(s.sizes)))) for s in shards])
+        got = [s.repeated(k).tolist() for s in shards for k in range(len(s.sizes))]
+        assert got == [whole.repeated(k).tolist() for k in range(40)]
+
+
 def test_odd_rows(spark):
     rows = [(1, None), (2, ""), (3, "x" * 199), (4, "y" * 200), (5, "z" * 201), (6, "ab" * 300), (None, "q" * 50 + "é" * 200), (7, "é" * 100), (7, "é" * 99), (8, "\x00" * 250), (9, "same " * 60), (9, "same " * 60), (10, "w" * 30_000)]
     assert got(spark.createDataFrame(rows, DOCS)) == brute(rows)
