@@ -40,11 +40,10 @@ from tamarack.llm import store
 from tamarack.llm import textkit as tk
 
 LENGTH, GRAM = 200, 24
-RUN_BYTES, SHARD_BYTES, PARTITION_BYTES, GROUP_BYTES = 1 << 20, 3 << 19, 8 << 20, 1 << 18
+RUN_BYTES, SHARD_BYTES, PARTITION_BYTES, GROUP_BYTES = 1 << 20, 1 << 20, 8 << 20, 1 << 18
 #: Widths of the classes of distances by which the windows of a large anchor are split, one after the other.
 WIDTHS = (88, 44, 22, 11, 5, 2, 1)
 _SPAN = np.uint64(0xA0761D6478BD642F)
-_LIMITS = [np.uint64(1 << (8 * k)) for k in range(8)]
 
 
 def _least(x: np.ndarray, width: int) -> np.ndarray:
@@ -87,7 +86,7 @@ def runs(data: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = G
 def suffix_array(text: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Positions sorted by ``depth`` bytes at least (fewer at the end), and each position's rank."""
     key = _words(text, 0)
-    return _refine(np.argsort(key, kind="stable"), key, depth)
+    return _refine(np.argsort(key), key, depth)
 
 
 def _words(text: np.ndarray, more: int) -> np.ndarray:
@@ -121,7 +120,7 @@ def _refine(sa: np.ndarray, key: np.ndarray, depth: int) -> tuple[np.ndarray, np
         on = own + done
         further = np.where(on < n, rank[np.minimum(on, n - 1)] + 1, 0)  # the end sorts first
         both = group[slots] * (n + 1) + further
-        order = np.argsort(both, kind="stable")
+        order = np.argsort(both)
         sa[slots] = own[order]
         both = both[order]
         begin = np.concatenate([[True], both[1:] != both[:-1]])
@@ -155,7 +154,8 @@ def common_prefixes(text: np.ndarray, sa: np.ndarray, cap: int, starts: np.ndarr
         go = np.flatnonzero((j >= 0) & (have < room))
         while len(go):
             differ = words[i[go] + have[go]] ^ words[j[go] + have[go]]
-            same = sum((differ < limit).astype(np.int64) for limit in _LIMITS)  # equal bytes from the left
+            differ &= ~(differ >> np.uint64(1))  # keeps the highest bit, and what stays can't round up to the next
+            same = (64 - np.frexp(differ.astype(float))[1]) >> 3  # equal bytes from the left
             have[go] += same
             go = go[(same == 8) & (have[go] < room[go])]
         have = np.minimum(have, room)
@@ -393,7 +393,7 @@ def repeats(docs: DataFrame) -> DataFrame:
     spark = docs.sparkSession
     store.ship_package(spark)
     found = _runs_of(docs)
-    again = found.groupBy("anchor").agg(F.count(F.lit(1)).alias("total")).filter("total > 1").select("anchor")
+    again = store.write_table(found.groupBy("anchor").agg(F.count(F.lit(1)).alias("total")).filter("total > 1").select("anchor"), "anchors")
     places = store.write_table(found.join(again, "anchor"), "places")
     one = F.min(F.struct("_rid", "first", "n", "at")).alias("one")
     spans = store.write_table(places.groupBy("anchor", "span").agg(one, F.count(F.lit(1)).alias("times")).select("anchor", "span", "times", "one.*"), "spans")
