@@ -7,7 +7,8 @@ the id table.  Its arrays lie in one file that each worker maps into memory.  A
 words walk through it in lockstep in numpy; words that it doesn't hold are merged exactly by rank,
 so results never depend on which words are frequent.
 
-Cases: a null text is empty and has no tokens; the special token's string in a text becomes its
+Cases: very long texts, and words of any length, take time in proportion (times a logarithm), and some forty
+times their size in a worker's memory; a null text is empty and has no tokens; the special token's string in a text becomes its
 id, as the tokenizers library has it; repeated rows are encoded alike; other columns pass through,
 and a column of the input named like an output column is replaced by the output; an empty table
 gives an empty result.
@@ -16,6 +17,7 @@ gives an empty result.
 from __future__ import annotations
 
 import hashlib
+import heapq
 import json
 import os
 from collections import Counter
@@ -49,7 +51,11 @@ _CAREFUL = rf"(?V1)'s|'t|'re|'ve|'m|'ll|'d| ?[\p{{L}}--[{NEWER}]]+| ?[\p{{N}}--[
 _NEWER_LEAD = 0xD5
 #: Words in the transducer at most; the rest is merged, so this bounds memory and changes nothing else.
 LEXICON_WORDS = 1 << 17
+#: Longer words aren't in the transducer but always merged, so the words' number bounds its size.
+LEXICON_CHARS = 64
+#: Above this, words are merged one by one with a heap instead of all of one length together.
 LOCKSTEP_BYTES = 40
+_PLACE = (1 << 40) - 1
 DECODE_ROWS = 256
 MEMO_WORDS = 180_000
 
@@ -108,23 +114,33 @@ class Vocabulary:
         return self.pool[at].tobytes().decode("utf-8", "replace")
 
     def merge(self, word: bytes) -> list[int]:
-        """Exact ids of one word: the pair of lowest rank, leftmost first, until none is left."""
-        first, pairs = self.first, self.pairs
-        ids = [first[b] for b in word]
-        none = (1 << 60, 0)
-        found = [pairs.get(a << 32 | b, none) for a, b in zip(ids, ids[1:], strict=False)]
-        while found:
-            best = min(found)
-            if best[0] == none[0]:
-                break
-            k = found.index(best)
-            ids[k : k + 2] = [best[1]]
-            del found[k]
-            if k < len(found):
-                found[k] = pairs.get(ids[k] << 32 | ids[k + 1], none)
-            if k:
-                found[k - 1] = pairs.get(ids[k - 1] << 32 | ids[k], none)
-        return ids
+        """Exact ids of one word: the pair of lowest rank, leftmost first, until none is left.
+
+        A heap holds the pairs by rank and place, so the time is that of sorting, whatever the length."""
+        pairs, n = self.pairs, len(word)
+        ids = [self.first[b] for b in word]
+        after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        none = (-1, 0)
+        heap = [pair[0] << 40 | k for k in range(n - 1) if (pair := pairs.get(ids[k] << 32 | ids[k + 1], none)) is not none]
+        heapq.heapify(heap)
+        while heap:
+            top = heapq.heappop(heap)
+            rank, k = top >> 40, top & _PLACE
+            j = after[k]
+            if ids[k] < 0 or j >= n:
+                continue
+            found, new = pairs.get(ids[k] << 32 | ids[j], none)
+            if found != rank:  # one of the two has been merged since
+                continue
+            ids[k], ids[j] = new, -1
+            after[k] = on = after[j]
+            if on < n:
+                before[on] = k
+                if (pair := pairs.get(new << 32 | ids[on], none)) is not none:
+                    heapq.heappush(heap, pair[0] << 40 | k)
+            if (i := before[k]) >= 0 and (pair := pairs.get(ids[i] << 32 | new, none)) is not none:
+                heapq.heappush(heap, pair[0] << 40 | i)
+        return [i for i in ids if i >= 0]
 
     def merge_many(self, words: list[bytes]) -> list[bytes]:
         """The ids of many words as bytes.  Words of one length are merged in lockstep: in every
@@ -322,7 +338,7 @@ def word_counts(docs: DataFrame, vocabulary: Vocabulary, text_col: str = "text")
 
 def frequent_words(counts: DataFrame, limit: int = LEXICON_WORDS) -> list[str]:
     """The most frequent words, as many whole counts as fit in ``limit``; what the driver gets is bounded by it."""
-    table = store.write_table(counts.filter(F.col("n") >= 2), "words")
+    table = store.write_table(counts.filter((F.col("n") >= 2) & (F.length("word") <= LEXICON_CHARS)), "words")
     tally = table.groupBy(F.least("n", F.lit(1_000_000)).alias("n")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("n")).collect()
     least, total = None, 0
     for row in tally:
@@ -367,6 +383,9 @@ def _encoder(docs: DataFrame, vocabulary: Vocabulary, shared: Broadcast, text_co
                 out = [b"".join(b"".join(map(get, p)) if not k % 2 else vocab.special[p].to_bytes(4, "little") for k, p in enumerate(doc)) for doc in parts]
                 n = pa.array([len(x) // 4 for x in out], pa.int64())
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, len(out)).columns[: len(rest)], n, pa.array(out, pa.binary())], names=[*rest, "n_tokens", "ids"])
+                for w in distinct:
+                    if len(w) > LEXICON_CHARS:
+                        memo.pop(w, None)
 
     return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).cast("string").alias("_text")), fields, run
 

@@ -1,4 +1,7 @@
+import functools
 import hashlib
+import random
+import time
 
 import numpy as np
 import pytest
@@ -81,3 +84,29 @@ def test_lockstep_merges_like_one_by_one(words):
 
 
 VOCAB = bpe.Vocabulary(bpe.default_vocabulary())
+
+
+def test_a_word_of_a_million_letters(spark):
+    """Unbroken text: ids are the library's, in seconds."""
+    tok = Tokenizer.from_file(bpe.default_vocabulary())
+    draw = random.Random(5)
+    word = "".join(draw.choice("etaoinshrdlu") for _ in range(1 << 20))
+    began = time.perf_counter()
+    assert vocabulary().merge(word.encode()) == tok.encode(word, add_special_tokens=False).ids
+    assert vocabulary().merge(b"a" * 300_000) == tok.encode("a" * 300_000, add_special_tokens=False).ids
+    assert time.perf_counter() - began < 60
+    rows = [(1, word[:400_000]), (2, word[:400_000]), (3, "é" * 50_000), (4, "中文" * 20_000)]
+    got = {r.doc_id: (r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in bpe.digests(spark.createDataFrame(rows, DOCS)).collect()}
+    assert got == {i: expected(tok, t) for i, t in rows}
+
+
+@functools.cache
+def vocabulary():
+    return bpe.Vocabulary(bpe.default_vocabulary())
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.text(alphabet="abthein ", min_size=1, max_size=200))
+def test_heap_and_lockstep_merge_alike(text):
+    words = [w.encode() for w in text.split()]
+    assert [np.frombuffer(x, "<u4").tolist() for x in vocabulary().merge_many(words)] == [vocabulary().merge(w) for w in words]
