@@ -339,7 +339,7 @@ def _split(rows: DataFrame) -> tuple[DataFrame, list[DataFrame]]:
     return small, links
 
 
-def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _sorted_out(batches: Iterator[pa.RecordBatch], shard_bytes: int) -> Iterator[pa.RecordBatch]:
     """(anchor, span, covers) of a partition whose rows come in the order of their anchors.
 
     Held are the open shard and, of an anchor that began in an earlier one, the shards that have its spans."""
@@ -375,7 +375,7 @@ def _sorted_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         for anchor, span, n, raw in zip(*(batch.column(c).to_pylist() for c in ("anchor", "span", "times", "bytes")), strict=True):
-            if size >= SHARD_BYTES:
+            if size >= shard_bytes:
                 close()
                 yield from flush(anchor)
             spans.append(raw)
@@ -407,7 +407,8 @@ def repeats(docs: DataFrame) -> DataFrame:
     size = spans.agg(F.sum(F.col("n") + LENGTH).alias("b")).first()["b"] or 0
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-size // PARTITION_BYTES))
     sharded = sent.repartition(tasks, "anchor").sortWithinPartitions("anchor")
-    back = sharded.mapInArrow(tk.tidy(_sorted_out), "anchor long, span long, covers array<int>").filter(F.size("covers") > 0)
+    shard_bytes = SHARD_BYTES
+    back = sharded.mapInArrow(tk.tidy(lambda batches: _sorted_out(batches, shard_bytes)), "anchor long, span long, covers array<int>").filter(F.size("covers") > 0)
     back = store.write_table(back, "covers")
     for link in reversed(links):
         up = link.join(back, ["anchor", "span"]).select(F.col("up_anchor").alias("anchor"), F.col("up_span").alias("span"), F.transform("covers", lambda x: x + F.col("shift")).alias("covers"))
