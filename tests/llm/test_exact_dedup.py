@@ -1,6 +1,7 @@
 import hashlib
 from collections import defaultdict
 
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -41,6 +42,32 @@ def test_odd_rows(spark, parts):
     assert got(df) == brute(rows)
 
 
+@pytest.mark.parametrize("share", [2, 5])
+def test_hot_texts_are_reduced_in_rounds(spark, monkeypatch, share):
+    """With small shares the hot texts take several rounds; long common prefixes are lengthened to their end."""
+    monkeypatch.setattr(exact_dedup, "LEAST_SHARE", share)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 7)
+    spark.conf.set("spark.sql.shuffle.partitions", 60)
+    try:
+        rows = [(k if k % 5 else None, "hot " * 400) for k in range(400)] + [(1000 + k, "hot " * 400 + str(k % 30)) for k in range(100)] + [(2000 + k, None if k % 2 else "") for k in range(90)]
+        df = spark.createDataFrame([(*r, 1) for r in rows], DOCS + ", _key int").repartition(8)
+        assert got(df) == brute(rows)
+        kept = exact_dedup.deduplicate(df).collect()
+        assert sorted((r.doc_id, r.text or "") for r in kept) == sorted((i, t or "") for i, t in {(t or ""): (i, t) for i, t in sorted(rows, key=lambda r: r[0] or -1)}.values())
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
+def test_rows_of_a_key_stay_together(monkeypatch):
+    monkeypatch.setattr(exact_dedup, "HELD_BYTES", 30)
+    keys = [1] * 3 + [2] * 10 + [3, 4, 5] + [6] * 9
+    for size in (1, 2, 3, 4, 100):
+        tables = [t["k"].to_pylist() for t in exact_dedup._together((pa.RecordBatch.from_pydict({"k": keys[a : a + size]}) for a in range(0, len(keys), size)), "k")]
+        assert [k for t in tables for k in t] == keys
+        assert all(a[-1] != b[0] for a, b in zip(tables, tables[1:], strict=False)) and len(tables) > (size < 100)
+
+
 def test_empty_and_extra_columns(spark):
     assert got(spark.createDataFrame([], DOCS)) == []
     df = spark.createDataFrame([(1, "a", 5), (2, "a", 6), (3, "b", 7)], DOCS + ", keep_id int")
