@@ -3,10 +3,10 @@
 1. In every Arrow batch, documents are split by successive byte strings of growing width until a
    group is a singleton or its texts have ended; equal texts of a batch become one *head* row.
    A text that a third of all rows share thus leaves each batch once.
-2. Heads are dealt out by radix: a driver loop asks which prefixes more than a bucket's share of the
-   heads have, lengthens only those, and stops when none is left or all of them have ended.  What it
-   collects is a long for a heavy prefix, fewer than there are buckets, whatever the prefix's length (two
-   prefixes that share one only meet in a bucket).  Every head goes to the bucket of its first prefix that
+2. Heads are dealt out by radix: a driver loop asks which prefixes more than a share of the heads have
+   (a bucket has SHARES of them), lengthens only those, and stops when none is left or all of them have
+   ended.  What it collects is a long for a heavy prefix, fewer than there are shares, whatever the prefix's
+   length (two prefixes that have the same long only meet in a bucket).  Every head goes to the bucket of its first prefix that
    isn't heavy.
 3. A whole text with more than a share of heads is reduced first: its heads are dealt out to as many tasks
    as it has shares, each of which leaves one, and so on until a share is enough.
@@ -36,7 +36,7 @@ from tamarack.llm import store
 from tamarack.llm import textkit as tk
 
 FIRST_WIDTH, WIDEST = 8, 1 << 16
-BUCKET_BYTES, HELD_BYTES, LEAST_SHARE = 32 << 20, 4 << 20, 64
+BUCKET_BYTES, HELD_BYTES, LEAST_SHARE, SHARES = 32 << 20, 4 << 20, 64, 8
 
 
 def radix_groups(texts: list[bytes]) -> list[list[int]]:
@@ -79,7 +79,7 @@ def route(df: DataFrame, text: str) -> Route:
     raw, size = whole.cast("binary"), F.octet_length(whole)
     total = df.agg(F.count(F.lit(1)).alias("n"), F.sum(size).alias("b")).first()
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-(total["b"] or 0) // BUCKET_BYTES))
-    share = max(LEAST_SHARE, total["n"] // buckets)
+    share = max(LEAST_SHARE, total["n"] // (SHARES * buckets))
     full = lambda level: FIRST_WIDTH * (2 ** (level + 1) - 1)
     prefix = lambda level: F.xxhash64(F.substring(raw, 1, full(level)))
     chain: list[list[int]] = []
