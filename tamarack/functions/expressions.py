@@ -2,7 +2,8 @@
 
 Comparison and arithmetic with NULL give NULL.  AND and OR take NULL for false.  Division is always
 of doubles and gives NaN for a zero divisor.  NaN is unequal to, and above, everything: ``=``, ``<`` and
-``<=`` with it are false, the others true.
+``<=`` with it are false, the others true.  Spark has this for a NaN on the left beside a number, so only a
+right side that may be NaN needs more than Spark's own comparison, which scans take over.
 """
 
 from __future__ import annotations
@@ -28,14 +29,15 @@ def divide(left: Column, right: Column) -> Column:
     return F.when(left.isNull() | right.isNull(), F.lit(None).cast("double")).when(right == 0, F.lit(NAN)).otherwise(left / right)
 
 
-def compare(op: str, left: Column, right: Column, nan: bool = False) -> Column:
-    """``nan``: an operand may be NaN, that is, holds a division."""
+def compare(op: str, left: Column, right: Column, nan: bool = False, fixed: bool = False) -> Column:
+    """``nan``: the right side may be NaN; ``fixed``: the left side is a constant, so never NULL."""
     plain = {"=": left == right, "<>": left != right, "<": left < right, "<=": left <= right, ">": left > right, ">=": left >= right}[op]
     if not nan:
         return plain
-    either = F.isnan(left.cast("double")) | F.isnan(right.cast("double"))
-    known = F.when(either, F.lit(op in ("<>", ">", ">="))).otherwise(plain)
-    return F.when(left.isNull() | right.isNull(), F.lit(None).cast("boolean")).otherwise(known)
+    above, none = op in ("<>", ">", ">="), F.isnan(right.cast("double"))
+    if fixed:
+        return plain | none if above else plain & ~none
+    return F.when(none, F.when(left.isNotNull(), F.lit(above))).otherwise(plain)
 
 
 def unlike(op: str, left: Column, right: Column) -> Column:

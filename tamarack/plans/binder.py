@@ -26,11 +26,15 @@ _COMPARISONS = ("=", "<>", "<", "<=", ">", ">=")
 
 @dataclass(frozen=True)
 class Bound:
-    """A column expression with its type; ``nan``: it holds a division, so it may be NaN."""
+    """A column expression with its type; ``fixed``: it is a constant.  Any other double may be NaN."""
 
     column: Column
     type: SqlType
-    nan: bool = False
+    fixed: bool = False
+
+    @property
+    def nan(self) -> bool:
+        return self.type == DOUBLE and not self.fixed
 
 
 @dataclass
@@ -64,15 +68,15 @@ class Scope:
 
 def _constant(c: Constant) -> Bound:
     if c.type.name == "VECTOR":
-        return Bound(vectors.literal(c.value), c.type)
-    return Bound(F.lit(c.value).cast(c.type.data_type), c.type)
+        return Bound(vectors.literal(c.value), c.type, True)
+    return Bound(F.lit(c.value).cast(c.type.data_type), c.type, True)
 
 
 def _compare(op: str, left: Bound, right: Bound, nulls: bool) -> Bound:
     if nulls:
         return Bound(F.lit(None).cast("boolean"), BOOLEAN)
     if left.type == right.type or left.type.numeric and right.type.numeric:
-        return Bound(ex.compare(op, left.column, right.column, left.nan or right.nan), BOOLEAN)
+        return Bound(ex.compare(op, left.column, right.column, right.nan, left.fixed), BOOLEAN)
     if op in ("=", "<>"):
         return Bound(ex.unlike(op, left.column, right.column), BOOLEAN)
     raise BinderError(f"can't order {left.type} and {right.type}")
@@ -90,10 +94,10 @@ def _binary(op: str, left: Bound, right: Bound, plain: bool, nulls: bool) -> Bou
     if not (left.type.numeric and right.type.numeric):
         raise BinderError(f"{op} needs numbers, not {left.type} and {right.type}")
     if op == "/":
-        return Bound(ex.divide(left.column, right.column), DOUBLE, True)
+        return Bound(ex.divide(left.column, right.column), DOUBLE)
     kind = wider(left.type, right.type)
     a, b = left.column.cast(kind.data_type), right.column.cast(kind.data_type)
-    return Bound(a + b if op == "+" else a - b if op == "-" else a * b, kind, left.nan or right.nan)
+    return Bound(a + b if op == "+" else a - b if op == "-" else a * b, kind)
 
 
 def _null(expr: Expr) -> bool:
@@ -160,12 +164,12 @@ def bind_aggregate(call: Call, scope: Scope) -> Bound:
     if name == "count":
         return Bound(F.count(x.column), BIGINT)
     if name in ("min", "max"):
-        return Bound((F.min if name == "min" else F.max)(x.column), x.type, x.nan)
+        return Bound((F.min if name == "min" else F.max)(x.column), x.type)
     if not x.type.numeric:
         raise BinderError(f"{name} needs numbers, not {x.type}")
     if name == "avg":
-        return Bound(F.avg(x.column), DOUBLE, x.nan)
-    return Bound(F.sum(x.column), DOUBLE if x.type == DOUBLE else BIGINT, x.nan)
+        return Bound(F.avg(x.column), DOUBLE)
+    return Bound(F.sum(x.column), DOUBLE if x.type == DOUBLE else BIGINT)
 
 
 def _frame(df: DataFrame, table: str, columns: list[tuple[str, SqlType]], scope: Scope) -> DataFrame:
@@ -201,6 +205,7 @@ def _join_condition(on: Expr, left: Scope, both: Scope) -> Column:
             raise BinderError(f"{part} doesn't compare one side of the join with the other")
         x, y = bind(part.left, both), bind(part.right, both)
         same = x.column == y.column if x.type == y.type or x.type.numeric and y.type.numeric else F.lit(False)
+        same = same & ~F.isnan(x.column) if x.nan and y.nan else same
         out = same if out is None else out & same
     return out
 
@@ -290,7 +295,7 @@ def _aggregate(df: DataFrame, stmt: Select, items: list[Item], scope: Scope) ->
             raise BinderError("aggregates can't be grouped by")
         b, name = bind(g, scope), f"g{len(columns)}"
         columns.append(_named(b, name))
-        keys.setdefault(scope.canon(g), Bound(F.col(name), b.type, b.nan))
+        keys.setdefault(scope.canon(g), Bound(F.col(name), b.type))
     found: dict[tuple, tuple[Column, Bound]] = {}
 
     def leaf(expr: Expr) -> Bound | None:
@@ -302,7 +307,7 @@ def _aggregate(df: DataFrame, stmt: Select, items: list[Item], scope: Scope) ->
             what = ("call", expr.name.lower(), *(("star",) if isinstance(a, Star) else scope.canon(a) for a in expr.args))
             if what not in found:
                 b, name = bind_aggregate(expr, scope), f"a{len(found)}"
-                found[what] = (b.column.alias(name), Bound(F.col(name), b.type, b.nan))
+                found[what] = (b.column.alias(name), Bound(F.col(name), b.type))
             return found[what][1]
         if isinstance(expr, ColumnRef):
             raise BinderError(f"{expr} must be grouped by or aggregated")

@@ -40,18 +40,21 @@ class Session:
     def __init__(self, spark: SparkSession) -> None:
         self.spark = spark
         self._tables: dict[str, Table] = {}
+        self._files: dict[str, tuple[str, Mapping[str, int] | None]] = {}
 
     # -- catalog
 
     def tables(self) -> list[str]:
-        return sorted(self._tables)
+        return sorted({*self._tables, *self._files})
 
     def exists(self, name: str) -> bool:
-        return name.lower() in self._tables
+        return name.lower() in self._tables or name.lower() in self._files
 
     def table(self, name: str) -> Table:
         if not self.exists(name):
             raise CatalogError(f"table {name} doesn't exist")
+        if (file := self._files.pop(name.lower(), None)) is not None:
+            self.register(name, self.spark.read.parquet(file[0]), file[1])
         return self._tables[name.lower()]
 
     def register(self, name: str, df: DataFrame, vector_dims: Mapping[str, int] | None = None) -> None:
@@ -66,7 +69,10 @@ class Session:
         self._tables[name.lower()] = Table(self.spark, columns, df.select(*cast))
 
     def register_parquet(self, name: str, path: str, vector_dims: Mapping[str, int] | None = None) -> None:
-        self.register(name, self.spark.read.parquet(path), vector_dims)
+        """Makes Parquet a table; its files are looked at when a statement first names it."""
+        if self.exists(name):
+            raise CatalogError(f"table {name} exists")
+        self._files[name.lower()] = (path, vector_dims)
 
     def create(self, name: str, columns: Iterable[tuple[str, types.SqlType]]) -> None:
         columns = [(c.lower(), kind) for c, kind in columns]
@@ -82,14 +88,12 @@ class Session:
         """Bulk append; columns by position, their types as declared."""
         t = self.table(name)
         if isinstance(data, DataFrame):
-            if [f.dataType for f in data.schema] != [f.dataType for f in t.schema]:
+            dims = [(f.metadata or {}).get(types.VECTOR_DIM, kind.dim) for f, (_, kind) in zip(data.schema, t.columns)]
+            if [f.dataType.simpleString() for f in data.schema] != [f.dataType.simpleString() for f in t.schema] or dims != [kind.dim for _, kind in t.columns]:
                 raise BinderError(f"table {name}: columns or types differ")
             t.frames.append(data.toDF(*[c for c, _ in t.columns]))
         else:
-            rows = [tuple(r) for r in data]
-            if any(len(r) != len(t.columns) for r in rows):
-                raise BinderError(f"table {name}: {len(t.columns)} values expected")
-            t.rows += rows
+            t.rows += types.check_rows(data, t.columns)
 
     # -- statements
 

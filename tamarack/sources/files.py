@@ -37,6 +37,10 @@ class Folder:
         """Files and folders right below, in order."""
         return sorted(s.getPath().getName() for s in self._fs.listStatus(self._path(name)))
 
+    def entries(self) -> list[tuple[str, int, float]]:
+        """(name, bytes, seconds since 1970 of the last change) of what is right below."""
+        return sorted((s.getPath().getName(), s.getLen(), s.getModificationTime() / 1000) for s in self._fs.listStatus(self._path()))
+
     def read(self, name: str) -> str:
         stream = self._fs.open(self._path(name))
         try:
@@ -53,7 +57,7 @@ class Folder:
         if not self._fs.rename(self._path(name), self._path(to)):
             raise OSError(f"can't move {name} to {to} in {self.path}")
 
-    def delete(self, name: str) -> None:
+    def delete(self, name: str = "") -> None:
         self._fs.delete(self._path(name), True)
 
     def publish(self, name: str, text: str) -> None:

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 from dataclasses import dataclass
 
+from pyspark.errors import PySparkException
 from pyspark.sql import types as T
 
 from tamarack.errors import BinderError
@@ -75,3 +77,37 @@ def from_field(field: T.StructField, dim: int | None = None) -> SqlType:
 
 def wider(a: SqlType, b: SqlType) -> SqlType:
     return NUMERIC[max(NUMERIC.index(a), NUMERIC.index(b))]
+
+
+def check_rows(rows: Iterable[tuple], columns: list[tuple[str, SqlType]]) -> list[tuple]:
+    """Rows of Python values for a bulk append, by the rules of INSERT; all fit, or nothing is stored."""
+    out = []
+    for row in map(tuple, rows):
+        if len(row) != len(columns):
+            raise BinderError(f"{len(columns)} values expected, not {len(row)}")
+        out.append(tuple(_fitting(v, name, kind) for v, (name, kind) in zip(row, columns, strict=True)))
+    return out
+
+
+_WIDTH = {INTEGER: 31, BIGINT: 63}
+
+
+def _fitting(v, name: str, kind: SqlType):
+    number = isinstance(v, (int, float)) and not isinstance(v, bool)
+    if v is None:
+        return None
+    if kind == DOUBLE and number:
+        return float(v)
+    if kind in _WIDTH and number and isinstance(v, int) and -(2 ** _WIDTH[kind]) <= v < 2 ** _WIDTH[kind]:
+        return v
+    if (kind == BOOLEAN and isinstance(v, bool)) or (kind == VARCHAR and isinstance(v, str)):
+        return v
+    if kind.name == "VECTOR" and isinstance(v, (list, tuple)) and len(v) == kind.dim and all(isinstance(x, (int, float)) and not isinstance(x, bool) for x in v):
+        return [float(x) for x in v]
+    if kind.name == "OTHER":
+        try:
+            T._make_type_verifier(kind.data_type)(v)
+            return v
+        except PySparkException:
+            pass
+    raise BinderError(f"column {name}: {v!r} doesn't fit {kind}")

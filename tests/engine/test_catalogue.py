@@ -13,11 +13,11 @@ def test_int_double_join_takes_the_whole_table(spark, sf):
     for key, size in catalogue.table(spark, sf, "part").select("p_partkey", "p_size").collect():
         parts[float(size)].append(key)
     want = sorted((q, n * len(parts[q]), n * sum(parts[q])) for q, n in quantity.items() if parts[q])
-    made = sorted(map(tuple, catalogue.QUERIES["join_int_double_whole"](spark, sf).collect()))
+    made = sorted(map(tuple, catalogue.QUERIES["join_int_double_keys"](spark, sf).collect()))
     assert made == want and sum(n for _, n, _ in made) > sum(quantity.values())
 
 
-@pytest.mark.parametrize(("name", "up"), [("order_nulls_whole", True), ("order_nulls_desc_whole", False)])
+@pytest.mark.parametrize(("name", "up"), [("order_nulls", True), ("order_nulls_desc", False)])
 def test_whole_table_is_sorted_with_its_nulls(spark, sf, name, up):
     rows = [(None if r[1] == 3 else r[1], *r) for r in catalogue.table(spark, sf, "lineitem").select(*catalogue.KEYS).collect()]
     want = sorted(rows, key=lambda r: ((r[0] or 0) if up else -(r[0] or 0), *r[1:]))
@@ -28,8 +28,8 @@ def test_whole_table_is_sorted_with_its_nulls(spark, sf, name, up):
 
 def test_predicates_on_values_keep_a_share_of_the_table(spark, sf):
     rows = [tuple(r) for r in catalogue.table(spark, sf, "lineitem").select("l_orderkey", "l_quantity", "l_tax", "l_discount", "l_returnflag").collect()]
-    made = {name: sorted(map(tuple, catalogue.QUERIES[name](spark, sf).collect())) for name in ("sql_bool_values", "sql_null_values", "lake_filter_values")}
-    assert made["sql_bool_values"] == sorted((k, not (q > 10 and t < 0.05), False) for k, q, t, _, f in rows if q < 5 or (f == "A" and q >= 49))
-    assert made["sql_null_values"] == [(sum(d < 0.05 for *_, d, _ in rows),)]
-    assert made["lake_filter_values"] == sorted((k, q * 2) for k, q, _, _, f in rows if f == "R" and q < 30)
-    assert min(len(made["sql_bool_values"]), made["sql_null_values"][0][0], len(made["lake_filter_values"])) > len(rows) // 20
+    made = {name: sorted(map(tuple, catalogue.QUERIES[name](spark, sf).collect())) for name in ("sql_bool", "sql_null", "lake_filter")}
+    assert made["sql_bool"] == sorted((k, not (q > 10 and t < 0.05), False) for k, q, t, _, f in rows if q < 5 or (f == "A" and q >= 49))
+    assert made["sql_null"] == [(sum(d < 0.05 for *_, d, _ in rows),)]
+    assert made["lake_filter"] == sorted((k, q * 2) for k, q, _, _, f in rows if f == "R" and q < 30)
+    assert min(len(made["sql_bool"]), made["sql_null"][0][0], len(made["lake_filter"])) > len(rows) // 20

@@ -17,50 +17,53 @@ def num(v):
 A, B, COL_C = ColumnRef("a"), ColumnRef("b"), ColumnRef("c")
 
 
-def test_star_and_aliases():
-    assert parse("SELECT * FROM lineitem") == Select((Item(Star()),), "lineitem")
-    assert parse("SELECT a AS k, b q, t.c FROM t").items == (Item(A, "k"), Item(B, "q"), Item(ColumnRef("c", "t")))
+def test_select_lists():
+    assert parse("SELECT * FROM quay") == Select((Item(Star()),), "quay")
+    assert parse("SELECT a AS x, t.c, b y FROM t").items == (Item(A, "x"), Item(ColumnRef("c", "t")), Item(B, "y"))
 
 
 @pytest.mark.parametrize("sign", ["=", "<>", "<", "<=", ">", ">="])
 def test_comparisons(sign):
-    assert parse(f"SELECT a FROM t WHERE a{sign}10").where == Binary(sign, A, num(10))
-    assert parse("SELECT a FROM t WHERE a != 10").where == Binary("<>", A, num(10))
+    assert parse(f"SELECT a FROM t WHERE b {sign}a").where == Binary(sign, B, A)
+    assert parse("SELECT a FROM t WHERE 4!=c").where == Binary("<>", num(4), COL_C)
 
 
-def test_precedence():
-    assert one("1 + 2 * 3") == Binary("+", num(1), Binary("*", num(2), num(3)))
-    assert one("(1 + 2) * 3") == Binary("*", Binary("+", num(1), num(2)), num(3))
-    assert one("a - b - c") == Binary("-", Binary("-", A, B), COL_C)
-    assert one("a + 1 > 5") == Binary(">", Binary("+", A, num(1)), num(5))
-    assert one("a = 1 or b = 2 and c = 3") == Binary("or", Binary("=", A, num(1)), Binary("and", Binary("=", B, num(2)), Binary("=", COL_C, num(3))))
-    assert one("a = 1 and b = 2 and c = 3").left.op == "and"
+@pytest.mark.parametrize(("text", "same"), [
+    ("a * b - c / 4", "(a * b) - (c / 4)"), ("a / b / c", "(a / b) / c"), ("a - b + c - 2", "((a - b) + c) - 2"), ("6 < a * b + c", "6 < ((a * b) + c)"), ("a < 2 and b > 3 or c <> 4", "((a < 2) and (b > 3)) or (c <> 4)"),
+    ("a < 2 or b > 3 and c <> 4 or a = b", "((a < 2) or ((b > 3) and (c <> 4))) or (a = b)"), ("-a * b", "(-a) * b"), ("- -7", "0 - (0 - 7)"), ("a - -b", "a - (0 - b)"), ("((c))", "c"),
+])
+def test_precedence(text, same):
+    assert one(text) == one(same) and (text == "((c))") == (one(text) == COL_C)
+
+
+def test_parentheses_change_the_tree():
+    assert one("a * (b - c)") == Binary("*", A, Binary("-", B, COL_C)) != one("a * b - c")
+    assert one("a = 9 and (b = 8 or c = 7)").right.op == "or"
 
 
 def test_literals():
-    assert one("-5") == Binary("-", num(0), num(5))
-    assert [one(x) for x in ("1.5", "'hello world'", "true", "null")] == [Constant(1.5, DOUBLE), Constant("hello world", VARCHAR), Constant(True, BOOLEAN), Constant(None, INTEGER)]
-    assert one("3000000000").type == BIGINT
-    assert one("[1, -2.5, 3]") == Constant((1.0, -2.5, 3.0), vector(3))
+    assert one("-12") == Binary("-", num(0), num(12))
+    assert [one(x) for x in ("0.25", "'salt water'", "false", "NULL")] == [Constant(0.25, DOUBLE), Constant("salt water", VARCHAR), Constant(False, BOOLEAN), Constant(None, INTEGER)]
+    assert [one(x).type for x in ("2147483647", "2147483648")] == [INTEGER, BIGINT]
+    assert one("[-0.5, 8]") == Constant((-0.5, 8.0), vector(2))
 
 
 def test_calls():
-    assert one("count(*)") == Call("count", (Star(),)) and one("f()") == Call("f", ()) and one("f(a, 1)") == Call("f", (A, num(1)))
+    assert one("depth()") == Call("depth", ()) and one("COUNT(*)").args == (Star(),) and one("f(b, g(2), a)") == Call("f", (B, Call("g", (num(2),)), A))
 
 
 def test_clauses():
-    s = parse("SELECT f, count(*) FROM t GROUP BY f, g ORDER BY f DESC, 2 ASC, g LIMIT 5")
-    assert s.groups == (ColumnRef("f"), ColumnRef("g")) and s.limit == 5
-    assert s.orders == (Order(ColumnRef("f"), False), Order(num(2)), Order(ColumnRef("g")))
-    s = parse("SELECT * FROM o INNER JOIN c ON o.k = c.k WHERE a > 1")
-    assert s.join == ("c", Binary("=", ColumnRef("k", "o"), ColumnRef("k", "c"))) and s.where is not None
-    assert parse("select A from T where B > 5").table == "T"
+    s = parse("SELECT c, max(a) FROM t GROUP BY c, b ORDER BY 2 DESC, c, b ASC LIMIT 12")
+    assert s.groups == (COL_C, B) and s.limit == 12 and s.orders == (Order(num(2), False), Order(COL_C), Order(B))
+    s = parse("select a from t join u on t.a = u.b and u.c = b where c < 3")
+    assert s.join == ("u", Binary("and", Binary("=", ColumnRef("a", "t"), ColumnRef("b", "u")), Binary("=", ColumnRef("c", "u"), B))) and s.where == Binary("<", COL_C, num(3))
+    assert parse("SELECT a FROM Wharf").table == "Wharf"
 
 
 def test_create_and_insert():
-    kinds = parse("CREATE TABLE t (a INTEGER, b bigint, c real, d text, e BOOL, f VECTOR(3))")
-    assert kinds == CreateTable("t", (("a", INTEGER), ("b", BIGINT), ("c", DOUBLE), ("d", VARCHAR), ("e", BOOLEAN), ("f", vector(3))))
-    assert parse("INSERT INTO t VALUES (1, 'a'), (-2, null)") == Insert("t", ((num(1), Constant("a", VARCHAR)), (num(-2), Constant(None, INTEGER))))
+    kinds = parse("create table hold (deck text, weight REAL, no BIGINT, shut bool, spot Vector(5), row int)")
+    assert kinds == CreateTable("hold", (("deck", VARCHAR), ("weight", DOUBLE), ("no", BIGINT), ("shut", BOOLEAN), ("spot", vector(5)), ("row", INTEGER)))
+    assert parse("INSERT INTO hold VALUES (null, -4), ('aft', 2.5)") == Insert("hold", ((Constant(None, INTEGER), num(-4)), (Constant("aft", VARCHAR), Constant(2.5, DOUBLE))))
 
 
 @pytest.mark.parametrize("sql", [

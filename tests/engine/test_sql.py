@@ -1,255 +1,336 @@
+"""The dialect from end to end, on a harbour's ships, calls and berths."""
+
 import io
 import math
+import random
 
 import pytest
-from pyspark.sql import types as T
 
 from tamarack import cli
 from tamarack.errors import BinderError, CatalogError, ExecutionError, ParserError
+from tamarack.operators import relational
 from tamarack.plans.render import show_table, show_value
 from tamarack.plans.session import Session
 from tamarack.types import vector
 
+HARBOUR = """
+CREATE TABLE ship (imo BIGINT, name VARCHAR, flag VARCHAR, tons DOUBLE, crew INTEGER, laid_up BOOLEAN)
+CREATE TABLE visit (visit_id INTEGER, imo BIGINT, berth VARCHAR, hours DOUBLE, cargo INTEGER)
+CREATE TABLE berth (code VARCHAR, depth DOUBLE, imo BIGINT)
+INSERT INTO ship VALUES (9001, 'Alma', 'NO', 5200.5, 18, false), (9002, 'Bris', 'NO', 730, 6, false), (9003, 'Corva', 'PT', 5200.5, null, true), (9004, 'Dune', null, null, 22, null), (9005, 'Eos', 'GR', 91000, 25, false)
+INSERT INTO visit VALUES (1, 9001, 'B2', 10.5, 40), (2, 9001, 'B3', 4, 0), (3, 9002, 'B2', 0, 12), (4, 9005, 'B9', 72, 900), (5, 9099, 'B2', 3, 7), (6, null, 'B3', null, 5), (7, 9002, 'B2', 0, 0)
+INSERT INTO berth VALUES ('B2', 9.5, 9001), ('B3', 7, 9002), ('B3', 7.25, 9002)
+"""
+
 
 @pytest.fixture
 def s(spark):
     return Session(spark)
 
 
-def load(s, *statements):
-    for x in statements:
-        assert s.fetch(x)[0].ok == "OK"
+@pytest.fixture
+def h(s):
+    for statement in HARBOUR.strip().splitlines():
+        assert [tuple(r) for r in s.fetch(statement)] == [("OK",)]
+    return s
 
 
-def rows(s, sql):
+def ask(s, sql):
     return [tuple(r) for r in s.fetch(sql)]
 
 
-@pytest.fixture
-def li(s, spark):
-    """10 000 rows: key i % 1000, quantity (i % 50) + 0.5, flag by i % 3."""
-    df = spark.range(10_000).selectExpr("CAST(id % 1000 AS INT) AS l_orderkey", "CAST(id % 50 AS DOUBLE) + 0.5D AS l_quantity", "substring('ABC', CAST(id % 3 AS INT) + 1, 1) AS l_returnflag")
-    s.register("lineitem", df)
-    return s
+def kinds(s, sql):
+    return [f.dataType.simpleString() for f in s.query(sql).schema]
 
 
-def types_of(s, sql):
-    return [f.dataType for f in s.query(sql).schema]
+# ---------------------------------------------------------------- scan, filter, projection
 
+SHIPS = [("Alma", "NO", 5200.5, 18), ("Bris", "NO", 730.0, 6), ("Corva", "PT", 5200.5, None), ("Dune", None, None, 22), ("Eos", "GR", 91000.0, 25)]
 
-# ---------------------------------------------------------------- scan, filter, projection
 
+@pytest.mark.parametrize(("where", "names"), [
+    ("tons > 5200.5", "Eos"), ("tons >= 5200.5", "Alma Corva Eos"), ("crew < 18", "Bris"), ("18 <= crew", "Alma Dune Eos"), ("flag <> 'NO'", "Corva Eos"), ("name = 'Dune' OR flag = 'GR'", "Dune Eos"),
+    ("laid_up = false AND crew > 6", "Alma Eos"), ("laid_up", "Corva"), ("crew = crew", "Alma Bris Dune Eos"), ("name > 'Bz' AND (crew < 23 OR tons > 90000)", "Dune Eos"), ("tons / crew < 150", "Bris"),
+    ("crew * 2 - 1 = 35", "Alma"), ("imo - 9000 > crew / 6", "Bris Dune Eos"), ("crew = null", ""), ("crew <> null OR name = 'Eos'", "Eos"), ("-crew < -22", "Eos"), ("tons = 730", "Bris"),
+])
+def test_where(h, where, names):
+    assert [n for (n,) in ask(h, f"SELECT name FROM ship WHERE {where} ORDER BY name")] == names.split()
 
-def test_filters(li):
-    assert rows(li, "SELECT count(*) FROM lineitem") == [(10_000,)]
-    assert rows(li, "SELECT count(*) FROM lineitem WHERE l_orderkey < 100 AND l_returnflag = 'A'") == [(334,)]
-    assert rows(li, "SELECT count(*) FROM lineitem WHERE l_orderkey < 0") == [(0,)]
-    assert rows(li, "SELECT count(*) FROM lineitem WHERE l_orderkey >= 990 OR l_quantity = 0.5") == [(300,)]
 
+def test_projection_names_and_types(h):
+    df = h.query("SELECT crew + imo, tons / 2 AS half, -crew, Ship.NAME, crew * 0.5, 'dock' AS place, null FROM ship WHERE imo = 9002")
+    assert df.columns[:6] == ["(crew + imo)", "half", "(0 - crew)", "ship.name", "(crew * 0.5)", "place"]
+    assert [tuple(r) for r in df.collect()] == [(9008, 365.0, -6, "Bris", 3.0, "dock", None)]
+    assert [f.dataType.simpleString() for f in df.schema][:5] == ["bigint", "double", "int", "string", "double"]
 
-def test_arithmetic_and_names(s):
-    load(s, "CREATE TABLE t (a INTEGER, b INTEGER)", "INSERT INTO t VALUES (1, 10), (2, 20)")
-    df = s.query("SELECT a + b, b / a AS d, -a, a * 2.5, T.A FROM t")
-    assert df.columns == ["(a + b)", "d", "(0 - a)", "(a * 2.5)", "t.a"]
-    assert sorted(map(tuple, df.collect())) == [(11, 10.0, -1, 2.5, 1), (22, 10.0, -2, 5.0, 2)]
-    assert [f.dataType for f in df.schema] == [T.IntegerType(), T.DoubleType(), T.IntegerType(), T.DoubleType(), T.IntegerType()]
-    assert rows(s, "SELECT 7, 'x', true, null FROM t LIMIT 1") == [(7, "x", True, None)]
 
+def test_division_by_zero_is_nan(h):
+    got = ask(h, "SELECT visit_id, cargo / hours AS rate FROM visit ORDER BY visit_id")
+    assert [("none" if v is None else "nan" if math.isnan(v) else round(v, 3)) for _, v in got] == [3.81, 0.0, "nan", 12.5, 2.333, "none", "nan"]
 
-def test_division_and_nan(s):
-    load(s, "CREATE TABLE t (a INTEGER, b DOUBLE)", "INSERT INTO t VALUES (1, 0), (4, 2), (null, 0), (3, null)")
-    assert [(v is None, v is not None and math.isnan(v)) for (v,) in rows(s, "SELECT a / b FROM t")] == [(False, True), (False, False), (True, False), (True, False)]
-    for op, n in {"=": 0, "<": 0, "<=": 0, "<>": 2, ">": 2, ">=": 2}.items():
-        assert rows(s, f"SELECT count(*) FROM t WHERE a / b {op} 1") == [(n,)]
 
+@pytest.mark.parametrize(("test", "n"), [
+    ("rate = rate", 4), ("rate <> rate", 2), ("rate < 4", 3), ("rate <= 12.5", 4), ("rate > 4", 3), ("rate >= 12.5", 3), ("4 > rate", 5), ("4 < rate", 1), ("4 >= rate", 5), ("4 <= rate", 1), ("3 = rate", 0), ("3 <> rate", 6),
+    ("rate < other", 0), ("rate <= other", 4), ("rate > other", 2), ("other >= rate", 6), ("rate + 1 = other + 1", 4), ("(rate < other) = false", 6),
+])
+def test_nan_in_a_stored_column(h, test, n):
+    """What a result stores is compared as the expression itself would be."""
+    h.register("rates", h.query("SELECT cargo / hours AS rate, cargo / hours AS other FROM visit"))
+    assert ask(h, f"SELECT count(*) FROM rates WHERE {test}") == [(n,)]
+    assert ask(h, f"SELECT count(*) FROM rates WHERE ({test}) = true") == [(n,)]
 
-def test_null_logic(s):
-    load(s, "CREATE TABLE t (a INTEGER)", "INSERT INTO t VALUES (1), (null), (3)")
-    assert rows(s, "SELECT count(a), count(*) FROM t") == [(2, 3)]
-    assert rows(s, "SELECT count(*) FROM t WHERE a = null OR a <> null") == [(0,)]
-    assert rows(s, "SELECT (a > 2 AND true) AS x FROM t ORDER BY x") == [(False,), (False,), (True,)]
-    assert rows(s, "SELECT count(*) FROM t WHERE (a > 2 OR false) = false") == [(2,)]
 
+def test_nan_keys_join_nothing(h):
+    for t in ("one", "two"):
+        h.register(t, h.query("SELECT visit_id AS id, cargo / hours AS rate FROM visit"))
+    assert sorted(ask(h, "SELECT one.id, two.id FROM one JOIN two ON one.rate = two.rate")) == [(k, k) for k in (1, 2, 4, 5)]
 
-def test_types_that_never_match(s):
-    load(s, "CREATE TABLE t (a INTEGER, v VARCHAR)", "INSERT INTO t VALUES (1, '1'), (2, null)")
-    assert rows(s, "SELECT a = v, a <> v FROM t ORDER BY 1") == [(None, None), (False, True)]
-    for bad in ("a < v", "a + v", "v - 1", "-v", "true > 1", "a AND true", "a"):
-        with pytest.raises(BinderError):
-            s.query(f"SELECT a FROM t WHERE {bad}")
 
+def test_null_counts_as_false_inside_and_or(h):
+    got = ask(h, "SELECT name, (crew > 10 AND laid_up = false) AS a, (crew > 20 OR laid_up) AS o, crew > 10 AS c FROM ship ORDER BY name")
+    assert got == [("Alma", True, False, True), ("Bris", False, False, False), ("Corva", False, True, None), ("Dune", False, True, True), ("Eos", True, True, True)]
 
-def test_vector_results_keep_their_dimension(s):
-    load(s, "CREATE TABLE p (id INTEGER, v VECTOR(2))", "INSERT INTO p VALUES (1, [1, 2]), (2, [0, -1.5]), (3, null)")
-    df = s.query("SELECT min(v) AS lo, max(v) AS hi FROM p")
-    assert [tuple(r) for r in df.collect()] == [([0.0, -1.5], [1.0, 2.0])] and df.schema["lo"].metadata == {"vector_dim": 2}
-    s.register("q", df)
-    assert s.table("q").columns == [("lo", vector(2)), ("hi", vector(2))]
-    assert rows(s, "SELECT v, count(*) FROM p GROUP BY v ORDER BY v DESC") == [([1.0, 2.0], 1), ([0.0, -1.5], 1), (None, 1)]
+
+@pytest.mark.parametrize("bad", ["crew < name", "name + 1", "flag * 2", "-name", "laid_up > 2", "crew AND laid_up", "laid_up OR 1", "crew", "name", "laid_up + 1 > 0"])
+def test_types_are_strict(h, bad):
+    with pytest.raises(BinderError):
+        h.query(f"SELECT imo FROM ship WHERE {bad}")
+
+
+def test_equality_across_types_never_holds(h):
+    assert ask(h, "SELECT crew = name, crew <> name FROM ship WHERE name <> 'Corva' LIMIT 1") == [(False, True)]
+    assert ask(h, "SELECT crew = name, crew <> name FROM ship WHERE name = 'Corva'") == [(None, None)]
 
 
 # ---------------------------------------------------------------- aggregates
 
 
-def test_aggregates_and_types(s):
-    load(s, "CREATE TABLE t (g VARCHAR, v INTEGER, w BIGINT, d DOUBLE)", "INSERT INTO t VALUES ('a', 1, 10, 0.5), ('b', 2, 20, 1.5), ('a', 3, null, null), (null, 4, 40, 2.0)")
-    df = s.query("SELECT sum(v), sum(w), sum(d), avg(v), min(g), max(d), count(d) FROM t")
-    assert [tuple(r) for r in df.collect()] == [(10, 70, 4.0, 2.5, "a", 2.0, 3)]
-    assert [f.dataType.simpleString() for f in df.schema] == ["bigint", "bigint", "double", "double", "string", "double", "bigint"]
-    assert rows(s, "SELECT g, sum(v) + 1 AS x FROM t GROUP BY g ORDER BY g") == [(None, 5), ("a", 5), ("b", 3)]
-    assert rows(s, "SELECT g AS k, sum(v) / count(*) FROM t GROUP BY k ORDER BY 2 DESC, k") == [(None, 4.0), ("a", 2.0), ("b", 2.0)]
-    assert rows(s, "SELECT v * 2 AS x, v * 2 + 1 FROM t GROUP BY v * 2 ORDER BY x LIMIT 1") == [(2, 3)]
-    assert sorted(rows(s, "SELECT g FROM t GROUP BY g"), key=repr) == [("a",), ("b",), (None,)]
+def test_aggregates_of_a_table(h):
+    sql = "SELECT count(*), count(crew), sum(crew), avg(crew), min(tons), max(name), sum(imo), sum(tons) FROM ship"
+    assert ask(h, sql) == [(5, 4, 71, 17.75, 730.0, "Eos", 45015, 102131.0)]
+    assert kinds(h, sql) == ["bigint", "bigint", "bigint", "double", "double", "string", "bigint", "double"]
+    assert ask(h, "SELECT count(*), sum(crew), avg(tons), min(name) FROM ship WHERE crew > 1000") == [(0, None, None, None)]
 
 
-def test_empty_inputs(s):
-    load(s, "CREATE TABLE t (g VARCHAR, v INTEGER)")
-    assert rows(s, "SELECT count(*), sum(v), min(g) FROM t") == [(0, None, None)]
-    assert rows(s, "SELECT g, count(*) FROM t GROUP BY g") == [] and rows(s, "SELECT * FROM t") == []
+@pytest.mark.parametrize(("sql", "want"), [
+    ("SELECT flag, count(*) FROM ship GROUP BY flag ORDER BY flag", [(None, 1), ("GR", 1), ("NO", 2), ("PT", 1)]),
+    ("SELECT berth AS b, sum(cargo) * 10 AS c FROM visit GROUP BY b ORDER BY c DESC LIMIT 2", [("B9", 9000), ("B2", 590)]),
+    ("SELECT cargo / 10 > 1 AS big, count(*) AS n FROM visit GROUP BY cargo / 10 > 1 ORDER BY n", [(True, 3), (False, 4)]),
+    ("SELECT imo - 9000, max(hours) - min(hours) FROM visit GROUP BY 1 ORDER BY 1 DESC LIMIT 2", [(99, 0.0), (5, 0.0)]),
+    ("SELECT berth FROM visit GROUP BY berth ORDER BY berth", [("B2",), ("B3",), ("B9",)]),
+    ("SELECT berth, imo, count(*) AS n FROM visit GROUP BY berth, imo ORDER BY n DESC, berth, imo LIMIT 2", [("B2", 9002, 2), ("B2", 9001, 1)]),
+    ("SELECT sum(cargo) / count(*) + 1 AS mean FROM visit WHERE berth = 'B2' GROUP BY berth", [(15.75,)]),
+    ("SELECT flag, count(*) FROM ship WHERE crew > 1000 GROUP BY flag", []),
+])
+def test_groups(h, sql, want):
+    assert ask(h, sql) == want
 
 
 @pytest.mark.parametrize("bad", [
-    "SELECT g, sum(v) FROM t", "SELECT v FROM t GROUP BY g", "SELECT * FROM t GROUP BY g", "SELECT sum(g) FROM t", "SELECT avg(g) FROM t", "SELECT sum(*) FROM t", "SELECT sum(v, v) FROM t", "SELECT sum(sum(v)) FROM t",
-    "SELECT g FROM t WHERE sum(v) > 1", "SELECT count(*) FROM t GROUP BY sum(v)", "SELECT foo(v) FROM t", "SELECT nope FROM t", "SELECT x.g FROM t", "SELECT g FROM t ORDER BY v", "SELECT g FROM t ORDER BY 3", "SELECT g FROM t WHERE v",
-    "SELECT g FROM t WHERE *", "SELECT l2_distance(v, v) FROM t",
+    "SELECT flag, max(crew) FROM ship", "SELECT crew FROM ship GROUP BY flag", "SELECT * FROM ship GROUP BY imo", "SELECT sum(flag) FROM ship", "SELECT avg(laid_up) FROM ship", "SELECT max(*) FROM ship", "SELECT min(crew, imo) FROM ship",
+    "SELECT count(max(crew)) FROM ship", "SELECT flag FROM ship WHERE max(crew) > 3", "SELECT count(*) FROM ship GROUP BY avg(crew)", "SELECT knots(crew) FROM ship", "SELECT keel FROM ship", "SELECT visit.crew FROM ship",
+    "SELECT name FROM ship ORDER BY crew", "SELECT name FROM ship ORDER BY 2", "SELECT name FROM ship WHERE tons", "SELECT flag, crew + 1 FROM ship GROUP BY flag", "SELECT cosine_distance(crew, crew) FROM ship", "SELECT name FROM ship GROUP BY 4",
 ])
-def test_binder_errors(s, bad):
-    load(s, "CREATE TABLE t (g VARCHAR, v INTEGER)")
+def test_what_the_binder_refuses(h, bad):
     with pytest.raises((BinderError, ParserError)):
-        s.query(bad)
+        h.query(bad)
 
 
 # ---------------------------------------------------------------- joins
 
 
-def orders(s):
-    load(s, "CREATE TABLE orders (o_orderkey INTEGER, o_custkey INTEGER)", "CREATE TABLE customer (c_custkey INTEGER, c_name VARCHAR)",
-         "INSERT INTO orders VALUES (10, 1), (11, 1), (12, 2), (13, 3), (14, null)", "INSERT INTO customer VALUES (1, 'alice'), (2, 'bob'), (null, 'nobody')")
-
-
-def test_joins(s):
-    orders(s)
-    assert sorted(rows(s, "SELECT o_orderkey, c_name FROM orders JOIN customer ON c_custkey = o_custkey")) == [(10, "alice"), (11, "alice"), (12, "bob")]
-    assert rows(s, "SELECT c_name, count(*) AS n FROM orders INNER JOIN customer ON orders.o_custkey = customer.c_custkey WHERE o_orderkey > 10 GROUP BY c_name ORDER BY n DESC, c_name") == [("alice", 1), ("bob", 1)]
-    assert s.query("SELECT * FROM orders JOIN customer ON o_custkey = c_custkey").columns == ["orders.o_orderkey", "orders.o_custkey", "customer.c_custkey", "customer.c_name"]
-    assert sorted(rows(s, "SELECT o_orderkey FROM orders JOIN customer ON o_custkey = c_custkey AND o_orderkey - 10 = c_custkey ")) == [(11,), (12,)]
-    assert rows(s, "SELECT o_orderkey FROM orders JOIN customer ON o_orderkey = c_name") == []
+@pytest.mark.parametrize(("sql", "want"), [
+    ("SELECT visit_id, name FROM visit JOIN ship ON visit.imo = ship.imo ORDER BY visit_id", [(1, "Alma"), (2, "Alma"), (3, "Bris"), (4, "Eos"), (7, "Bris")]),
+    ("SELECT visit_id, depth FROM visit INNER JOIN berth ON code = berth ORDER BY 1, 2", [(1, 9.5), (2, 7.0), (2, 7.25), (3, 9.5), (5, 9.5), (6, 7.0), (6, 7.25), (7, 9.5)]),
+    ("SELECT visit_id FROM visit JOIN berth ON berth = code AND berth.imo = visit.imo", [(1,)]),
+    ("SELECT flag, sum(cargo) AS c FROM ship JOIN visit ON ship.imo = visit.imo WHERE hours < 50 AND crew > 5 GROUP BY flag", [("NO", 52)]),
+    ("SELECT visit_id FROM visit JOIN ship ON visit_id + 9000 = ship.imo AND cargo * 1 = crew * 0", [(2,)]),
+    ("SELECT visit_id, code FROM visit JOIN berth ON hours = depth * 0 + 4", [(2, "B2"), (2, "B3"), (2, "B3")]),
+    ("SELECT visit_id FROM visit JOIN ship ON cargo = name", []),
+])
+def test_joins(h, sql, want):
+    assert sorted(ask(h, sql)) == want
 
 
-def test_join_keys_of_other_numeric_types(s):
-    load(s, "CREATE TABLE l (k INTEGER)", "CREATE TABLE r (k DOUBLE)", "INSERT INTO l VALUES (1), (2)", "INSERT INTO r VALUES (1), (2.5)")
-    assert rows(s, "SELECT l.k FROM l JOIN r ON l.k = r.k") == [(1,)]
+def test_star_of_a_join_keeps_both_sides_names(h):
+    assert h.query("SELECT * FROM berth JOIN ship ON berth.imo = ship.imo").columns[:5] == ["berth.code", "berth.depth", "berth.imo", "ship.imo", "ship.name"]
+    assert ask(h, "SELECT * FROM berth JOIN ship ON berth.imo = ship.imo WHERE depth > 8")[0][:5] == ("B2", 9.5, 9001, 9001, "Alma")
 
 
-def test_duplicates_and_fan_out(s):
-    load(s, "CREATE TABLE small (k INTEGER)", "CREATE TABLE big (k INTEGER)", "INSERT INTO small VALUES (1), (1), (1)")
-    s.append("big", [(1,)] * 5000)
-    assert rows(s, "SELECT count(*) FROM big JOIN small ON big.k = small.k") == [(15_000,)]
-    assert s.query("SELECT small.k, big.k FROM small JOIN big ON small.k = big.k").columns == ["small.k", "big.k"]
+def test_many_to_many(s):
+    for t, n in (("tug", 17), ("rope", 230)):
+        s.query(f"CREATE TABLE {t} (colour INTEGER)")
+        s.append(t, [(k % 2,) for k in range(n)])
+    assert ask(s, "SELECT count(*) FROM tug JOIN rope ON tug.colour = rope.colour") == [(9 * 115 + 8 * 115,)]
 
 
-@pytest.mark.parametrize("bad", ["o_custkey < c_custkey", "o_custkey = 1", "o_custkey = o_orderkey", "o_custkey = c_custkey OR true", "o_custkey + c_custkey = c_custkey"])
-def test_join_errors(s, bad):
-    orders(s)
+@pytest.mark.parametrize("on", ["visit.imo < ship.imo", "visit.imo = 9001", "visit.imo = cargo", "visit.imo = ship.imo OR laid_up", "visit.imo + crew = ship.imo", "laid_up"])
+def test_join_conditions_are_equalities_between_sides(h, on):
     with pytest.raises(BinderError):
-        s.query(f"SELECT * FROM orders JOIN customer ON {bad}")
+        h.query(f"SELECT * FROM visit JOIN ship ON {on}")
 
 
-def test_ambiguity_self_joins_and_missing_tables(s):
-    load(s, "CREATE TABLE a (k INTEGER)", "CREATE TABLE b (k INTEGER)")
-    for bad, error in (("SELECT k FROM a JOIN b ON a.k = b.k", BinderError), ("SELECT * FROM a JOIN a ON a.k = a.k", BinderError), ("SELECT * FROM none", CatalogError), ("SELECT * FROM a JOIN none ON a.k = none.k", CatalogError)):
-        with pytest.raises(error):
-            s.query(bad)
+@pytest.mark.parametrize(("sql", "error"), [
+    ("SELECT imo FROM visit JOIN ship ON visit.imo = ship.imo", BinderError), ("SELECT * FROM ship JOIN ship ON ship.imo = ship.imo", BinderError),
+    ("SELECT * FROM raft", CatalogError), ("SELECT * FROM ship JOIN raft ON ship.imo = raft.imo", CatalogError), ("INSERT INTO raft VALUES (1)", CatalogError),
+])
+def test_names_that_mean_nothing_or_two_things(h, sql, error):
+    with pytest.raises(error):
+        h.query(sql)
 
 
 # ---------------------------------------------------------------- order and limit
 
 
-def test_order_and_limit(s):
-    load(s, "CREATE TABLE t (a INTEGER, b INTEGER)", "INSERT INTO t VALUES (2, 1), (1, 2), (2, 0), (1, 1), (null, 5)")
-    assert rows(s, "SELECT a, b FROM t ORDER BY a ASC, b DESC") == [(None, 5), (1, 2), (1, 1), (2, 1), (2, 0)]
-    assert rows(s, "SELECT a AS x, b FROM t ORDER BY x DESC, 2 LIMIT 3") == [(2, 0), (2, 1), (1, 1)]
-    assert rows(s, "SELECT a FROM t LIMIT 0") == [] and len(rows(s, "SELECT a FROM t LIMIT 99999999999")) == 5
+@pytest.mark.parametrize(("order", "names"), [
+    ("ORDER BY crew", "Corva Bris Alma Dune Eos"), ("ORDER BY crew DESC LIMIT 2", "Eos Dune"), ("ORDER BY tons DESC, name DESC", "Eos Corva Alma Bris Dune"),
+    ("ORDER BY 3, 1 LIMIT 3", "Dune Eos Alma"), ("ORDER BY flag DESC, crew DESC LIMIT 99999999999", "Corva Alma Bris Eos Dune"), ("ORDER BY name LIMIT 0", ""),
+])
+def test_order(h, order, names):
+    assert [r[0] for r in ask(h, f"SELECT name, crew, flag, tons FROM ship {order}")] == names.split()
 
 
-def test_global_order(s):
-    load(s, "CREATE TABLE t (a INTEGER)")
-    s.append("t", [(k,) for k in range(8209, 0, -1)])
-    assert [r[0] for r in rows(s, "SELECT a FROM t ORDER BY a")] == list(range(1, 8210))
-    assert rows(s, "SELECT a FROM t ORDER BY a LIMIT 3") == [(1,), (2,), (3,)]
-    assert "TakeOrderedAndProject" in s.query("SELECT a FROM t ORDER BY a LIMIT 3")._jdf.queryExecution().executedPlan().toString()
+def test_order_is_global(s):
+    s.query("CREATE TABLE logbook (knot INTEGER, day BIGINT)")
+    draw = random.Random(4)
+    book = [(draw.randrange(50), day) for day in range(5003)]
+    s.append("logbook", s.spark.createDataFrame(book, "a int, b long").repartition(9))
+    assert ask(s, "SELECT knot, day FROM logbook ORDER BY knot DESC, day") == sorted(book, key=lambda r: (-r[0], r[1]))
+    top = "SELECT day, knot FROM logbook ORDER BY knot, day DESC LIMIT 11"
+    assert ask(s, top) == [(d, k) for k, d in sorted(book, key=lambda r: (r[0], -r[1]))[:11]]
+    assert "TakeOrderedAndProject" in s.query(top)._jdf.queryExecution().executedPlan().toString()
 
 
-def test_results_dont_depend_on_partitions(li, spark):
-    sql = "SELECT l_returnflag, count(*), sum(l_quantity) FROM lineitem GROUP BY l_returnflag ORDER BY l_returnflag"
-    one = Session(spark)
-    one.register("lineitem", li.table("lineitem").df().coalesce(1))
-    assert rows(li, sql) == rows(one, sql)
+@pytest.mark.parametrize("n", [26, 70, 100, 101, 5000])
+def test_limits_beyond_sparks_own(spark, monkeypatch, n):
+    monkeypatch.setattr(relational, "MOST_ROWS", 25)
+    df = relational.order_by(spark.range(0, 100, 1, 7).selectExpr("(id * 37) % 101 AS k"), ("k", True))
+    want = [r.k for r in df.collect()]
+    assert [r.k for r in relational.limit(df, n).collect()] == want[:n]
 
 
 # ---------------------------------------------------------------- vectors
 
+BUOYS = "INSERT INTO buoy VALUES ('n', [0, 4]), ('ne', [3, 4]), ('e', [2, 0]), ('sw', [-1, -1]), ('lost', null)"
 
-def test_knn(s):
-    load(s, "CREATE TABLE docs (id INTEGER, title VARCHAR, e VECTOR(3))", "INSERT INTO docs VALUES (1, 'a', [1, 0, 0]), (2, 'b', [0.9, 0.1, 0]), (3, 'c', [0, 0, 1]), (4, 'd', [0.7, 0.3, 0])")
-    for f in ("l2_distance", "cosine_distance", "negative_inner_product", "array_distance", "array_cosine_distance", "array_negative_inner_product"):
-        assert [r[0] for r in rows(s, f"SELECT id, {f}(e, [1, 0, 0]) AS d FROM docs ORDER BY d LIMIT 3")] == [1, 2, 4]
 
+@pytest.fixture
+def buoys(s):
+    s.query("CREATE TABLE buoy (name VARCHAR, at VECTOR(2))")
+    s.query(BUOYS)
+    return s
 
-def test_distances(s):
-    load(s, "CREATE TABLE p (id INTEGER, e VECTOR(2))", "INSERT INTO p VALUES (1, [0, 0]), (2, [1, 1]), (3, [3, 3]), (4, null)")
-    assert rows(s, "SELECT id, l2_distance(e, [0.9, 1.1]) AS d FROM p WHERE id < 4 ORDER BY d LIMIT 1") == [(2, pytest.approx(math.sqrt(0.02)))]
-    assert rows(s, "SELECT id, negative_inner_product(e, [1, 1]) AS d FROM p WHERE id < 4 ORDER BY d LIMIT 1") == [(3, -6.0)]
-    assert rows(s, "SELECT cosine_distance(e, [1, 0]) FROM p WHERE id = 4") == [(None,)]
-    assert rows(s, "SELECT max(l2_distance(e, [0, 0])) FROM p") == [(pytest.approx(math.sqrt(18)),)]
+
+@pytest.mark.parametrize(("function", "point", "order"), [
+    ("l2_distance", "[2, 1]", "e ne n sw"), ("array_distance", "[-2, 0]", "sw e n ne"), ("cosine_distance", "[0, 9]", "n ne e sw"), ("array_cosine_distance", "[-1, -1.5]", "sw e n ne"),
+    ("negative_inner_product", "[1, 0.5]", "ne n e sw"), ("array_negative_inner_product", "[-3, 1]", "n sw ne e"),
+])
+def test_nearest_buoys(buoys, function, point, order):
+    got = ask(buoys, f"SELECT name, {function}(at, {point}) AS d FROM buoy WHERE name <> 'lost' ORDER BY d, name")
+    place = {"n": (0, 4), "ne": (3, 4), "e": (2, 0), "sw": (-1, -1)}
+    x, y = map(float, point.strip("[]").split(","))
+    plain = {
+        "l2": lambda a, b: math.hypot(a - x, b - y), "co": lambda a, b: 1 - (a * x + b * y) / math.hypot(a, b) / math.hypot(x, y), "ne": lambda a, b: -(a * x + b * y),
+    }[{"distance": "l2", "cosine_distance": "co", "negative_inner_product": "ne"}.get(function.removeprefix("array_"), function[:2])]
+    want = sorted((round(plain(*p), 9), n) for n, p in place.items())
+    assert [(round(d, 9), n) for n, d in got] == want
+    assert order.split()[0] == got[0][0]
+
+
+def test_null_and_zero_vectors(buoys):
+    assert ask(buoys, "SELECT l2_distance(at, [1, 1]), cosine_distance(at, [1, 1]) FROM buoy WHERE name = 'lost'") == [(None, None)]
     with pytest.raises(ExecutionError):
-        s.fetch("SELECT cosine_distance(e, [1, 0]) FROM p")
-    for bad in ("l2_distance(e, [1])", "l2_distance(e)", "l2_distance(e, 1)", "l2_distance(e, null)"):
-        with pytest.raises(BinderError):
-            s.query(f"SELECT {bad} FROM p")
+        buoys.fetch("SELECT cosine_distance(at, [0, 0]) FROM buoy")
+    assert ask(buoys, "SELECT max(l2_distance(at, [0, 0])), count(at) FROM buoy") == [(5.0, 4)]
 
 
-# ---------------------------------------------------------------- catalog, INSERT, shell
+@pytest.mark.parametrize("call", ["l2_distance(at, [1, 2, 3])", "cosine_distance(at)", "l2_distance(at, 4)", "negative_inner_product(at, null)", "l2_distance(name, at)", "at + at"])
+def test_vector_calls_are_checked(buoys, call):
+    with pytest.raises(BinderError):
+        buoys.query(f"SELECT {call} FROM buoy")
 
 
-def test_insert_is_checked_as_a_whole(s):
-    load(s, "CREATE TABLE t (i INTEGER, b BIGINT, d DOUBLE, s VARCHAR, f BOOLEAN, v VECTOR(2))", "INSERT INTO t VALUES (1, 2, 3, 'x', true, [1, 2]), (null, null, null, null, null, null), (1, 3000000000, 1.5, '', false, [0, -1])")
-    for bad in ("(1.5, 1, 1, 'x', true, [1, 2])", "(3000000000, 1, 1, 'x', true, [1, 2])", "(1, 1.0, 1, 'x', true, [1, 2])", "(1, 1, 'x', 'x', true, [1, 2])", "(1, 1, 1, 1, true, [1, 2])", "(1, 1, 1, 'x', 1, [1, 2])", "(1, 1, 1, 'x', true, [1])", "(1)"):
-        with pytest.raises(BinderError):
-            s.query(f"INSERT INTO t VALUES (1, 1, 1, 'x', true, [1, 2]), {bad}")
-    assert rows(s, "SELECT count(*) FROM t") == [(3,)]
-
-
-def test_catalog(s, spark):
-    load(s, "CREATE TABLE Abc (X INTEGER)")
-    assert s.tables() == ["abc"] and s.exists("ABC")
-    for bad, error in (("CREATE TABLE abc (x INTEGER)", CatalogError), ("CREATE TABLE d (x INTEGER, X INTEGER)", BinderError), ("INSERT INTO none VALUES (1)", CatalogError)):
-        with pytest.raises(error):
-            s.query(bad)
-    s.append("abc", spark.range(3).selectExpr("CAST(id AS INT) AS other"))
-    assert sorted(rows(s, "SELECT x FROM abc")) == [(0,), (1,), (2,)]
+def test_vectors_are_compared_grouped_and_joined(buoys):
+    buoys.query("INSERT INTO buoy VALUES ('twin', [2, 0])")
+    df = buoys.query("SELECT max(at) AS hi, min(at) AS lo FROM buoy WHERE at >= [-1, 0]")
+    assert [tuple(r) for r in df.collect()] == [([3.0, 4.0], [0.0, 4.0])] and df.schema["hi"].metadata == {"vector_dim": 2}
+    assert ask(buoys, "SELECT at, count(*) AS n FROM buoy GROUP BY at ORDER BY n DESC, at LIMIT 2") == [([2.0, 0.0], 2), (None, 1)]
+    buoys.register("mark", df)
+    assert buoys.table("mark").columns == [("hi", vector(2)), ("lo", vector(2))]
+    assert ask(buoys, "SELECT name FROM buoy JOIN mark ON at = hi") == [("ne",)]
+
+
+# ---------------------------------------------------------------- catalog, inserts, appends, shell
+
+GOOD = (7, 2**40, 2, "rope", True, [1, 2.5])
+
+
+def _crates(s):
+    s.query("CREATE TABLE crate (n INTEGER, code BIGINT, kg DOUBLE, what VARCHAR, ok BOOLEAN, size VECTOR(2))")
+
+
+@pytest.mark.parametrize("bad", ["(2.5, 1, 1, 'a', true, [1, 2])", "(9999999999, 1, 1, 'a', true, [1, 2])", "(1, 0.5, 1, 'a', true, [1, 2])", "(1, 1, 'a', 'a', true, [1, 2])", "(1, 1, 1, 7, true, [1, 2])", "(1, 1, 1, 'a', 0, [1, 2])", "(1, 1, 1, 'a', true, [1, 2, 3])", "(1, 1)"])
+def test_an_insert_fits_or_stores_nothing(s, bad):
+    _crates(s)
+    s.query("INSERT INTO crate VALUES (1, 2, 3, 'x', true, [4, 5]), (-1, 3000000000, -0.5, '', false, [0, -1]), (null, null, null, null, null, null)")
     with pytest.raises(BinderError):
-        s.append("abc", spark.range(3))
+        s.query(f"INSERT INTO crate VALUES (5, 5, 5, 'fine', false, [5, 5]), {bad}")
+    assert ask(s, "SELECT count(*), sum(n), max(code), sum(kg) FROM crate") == [(3, 0, 3000000000, 2.5)]
+
+
+@pytest.mark.parametrize(("column", "value"), [(0, "oops"), (0, 1.0), (0, True), (0, 2**31), (1, 2**63), (1, "8"), (2, "2.5"), (2, False), (3, 5), (3, b"x"), (4, 1), (4, "true"), (5, [1]), (5, ["a", "b"]), (5, 3)])
+def test_an_append_fits_or_stores_nothing(s, column, value):
+    _crates(s)
+    s.append("crate", [GOOD, (None,) * 6, (-(2**31), -(2**63), 0.5, "", False, (0, -1))])
+    row = [*GOOD]
+    row[column] = value
     with pytest.raises(BinderError):
-        s.append("abc", [(1, 2)])
+        s.append("crate", [GOOD, tuple(row)])
+    assert ask(s, "SELECT count(*), min(n), max(code), sum(kg) FROM crate") == [(3, -(2**31), 2**40, 2.5)]
+
+
+def test_appended_frames_have_the_tables_types(s, spark):
+    s.query("CREATE TABLE Shed (Bay INTEGER, Area VECTOR(2))")
+    s.append("shed", spark.sql("SELECT CAST(id AS INT) AS x, array(1D, 2D) AS y FROM range(3)"))
+    assert sorted(ask(s, "SELECT bay FROM shed")) == [(0,), (1,), (2,)] and s.tables() == ["shed"] and s.exists("SHED")
+    for df in (spark.sql("SELECT 1L AS x, array(1D, 2D) AS y"), spark.sql("SELECT 1 AS x"), s.query("SELECT bay, [1, 2, 3] AS v FROM shed")):
+        with pytest.raises(BinderError):
+            s.append("shed", df)
+    with pytest.raises(BinderError):
+        s.append("shed", [(1,)])
+
+
+@pytest.mark.parametrize(("sql", "error"), [("CREATE TABLE ship (x INTEGER)", CatalogError), ("CREATE TABLE SHIP (x INTEGER)", CatalogError), ("CREATE TABLE oar (x INTEGER, X DOUBLE)", BinderError)])
+def test_tables_and_columns_have_one_name(h, sql, error):
+    with pytest.raises(error):
+        h.query(sql)
+
+
+def test_parquet_is_opened_when_named(s, sf):
+    s.register_parquet("absent", "/nowhere/at/all.parquet")
+    s.register_parquet("Nation", f"{sf}/nation.parquet")
+    assert s.tables() == ["absent", "nation"] and ask(s, "SELECT count(*) FROM nation") == [(25,)]
+    with pytest.raises(CatalogError):
+        s.register_parquet("NATION", f"{sf}/nation.parquet")
 
 
-def test_scans_are_pruned_and_filters_pushed(spark, sf):
-    s = Session(spark)
-    for t in ("lineitem", "orders"):
+def test_plans_reach_the_scan(s, sf):
+    for t in ("supplier", "nation"):
         s.register_parquet(t, f"{sf}/{t}.parquet")
-    plan = s.query("SELECT o_custkey, sum(l_quantity) FROM lineitem JOIN orders ON l_orderkey = o_orderkey WHERE l_quantity > 10 AND o_totalprice > 5 OR l_quantity > 40 AND o_totalprice > 7 GROUP BY o_custkey")._jdf.queryExecution().executedPlan().toString()
-    assert "ReadSchema: struct<l_orderkey:bigint,l_quantity:double>" in plan and "GreaterThan(l_quantity,10.0)" in plan and "GreaterThan(o_totalprice" in plan
+    plan = s.query("SELECT n_name, count(*) FROM supplier JOIN nation ON s_nationkey = n_nationkey WHERE s_acctbal > 100 AND n_regionkey <= 3 OR s_acctbal > 500 AND n_regionkey <= 1 GROUP BY n_name")._jdf.queryExecution().executedPlan().toString()
+    assert "ReadSchema: struct<s_nationkey:int,s_acctbal:double>" in plan and "GreaterThan(s_acctbal,100.0)" in plan and "LessThanOrEqual(n_regionkey" in plan
+    flipped = s.query("SELECT s_suppkey FROM supplier WHERE 250 < s_acctbal")._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThan(s_acctbal,250.0)" in flipped
 
 
-def test_rendering():
-    assert [show_value(v) for v in (None, 36.0, 1.25, True, [1.0, -2.5], "x", 7, float("nan"))] == ["NULL", "36.0", "1.25", "true", "[1.0, -2.5]", "x", "7", "nan"]
-    assert show_table(["a"], [(1,)]).splitlines()[-1] == "(1 rows)"
+def test_values_on_the_screen():
+    assert list(map(show_value, (None, 12.0, 0.125, False, [2.0, -0.5], "tar", -3, math.nan))) == ["NULL", "12.0", "0.125", "false", "[2.0, -0.5]", "tar", "-3", "nan"]
+    assert show_table(["mast"], [(1,), (2,)]).splitlines()[-1] == "(2 rows)"
 
 
 def test_shell(s):
     out = io.StringIO()
-    text = ".tables\nCREATE TABLE t (a INTEGER);\nINSERT INTO t VALUES (1),\n (2);\nSELECT sum(a) AS s FROM t; ignored\nSELECT nope FROM t;\nSELEC;\n.tables\n.threads x\n.quit\nSELECT a FROM t;\n"
-    cli.run(s, io.StringIO(text), out)
+    lines = ["CREATE TABLE keg (litres INTEGER);", "INSERT INTO keg VALUES (30),", "  (12);", "SELECT max(litres) AS most FROM keg; rest", "SELECT gallons FROM keg;", "DROP keg;", ".tables", ".threads many", ".quit", "SELECT 5 FROM keg;", ""]
+    cli.run(s, io.StringIO("\n".join(lines)), out)
     said = out.getvalue()
-    assert "| 3 |" in said and "BinderError" in said and "ParserError" in said and "\nt\n" in said and "commands:" in said
+    assert all(x in said for x in ("| 30   |", "BinderError", "ParserError", "\nkeg\n", "commands:")) and "| 5" not in said
