@@ -85,11 +85,15 @@ ORACLES: dict[str, str] = {
             SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
             UNION ALL SELECT -1, 0, 'user', '<|im_end|><|im_start|>assistant ok'
             UNION ALL SELECT -1, 1, 'assistant', '<|im_end|><|im_start|>assistant ok'),
-        e AS (SELECT *, length(replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n')) + length(replace(replace(text, '\', '\\'), '<|', '<\|')) + 24 AS chars,
-                     CASE WHEN role = 'assistant' THEN text ELSE '' END AS reply FROM t)
-        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
-               CAST(sum(length(reply)) AS BIGINT) AS loss_chars, sha256(string_agg(reply, '' ORDER BY turn, role, text)) AS loss_sha256, CAST(sum(chars) AS BIGINT) AS formatted_chars
-        FROM e GROUP BY conv_id""",
+        e AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) AS k, role = 'assistant' AS reply,
+                     '<|im_start|>' || replace(replace(replace(role, '\', '\\'), '<|', '<\|'), chr(10), '\n') || chr(10) || replace(replace(text, '\', '\\'), '<|', '<\|') || '<|im_end|>' || chr(10) AS formatted FROM t),
+        x AS (SELECT *, string_agg(formatted, '') OVER (PARTITION BY conv_id ORDER BY k ROWS UNBOUNDED PRECEDING) AS example,
+                     max(CASE WHEN reply THEN k ELSE 0 END) OVER (PARTITION BY conv_id) AS last FROM e)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY k)) AS turns_sha256,
+               CAST(coalesce(sum(length(text)) FILTER (reply), 0) AS BIGINT) AS loss_chars, sha256(coalesce(string_agg(text, '' ORDER BY k) FILTER (reply), '')) AS loss_sha256,
+               CAST(sum(CASE WHEN reply THEN length(example) WHEN k > last THEN length(formatted) ELSE 0 END) AS BIGINT) AS formatted_chars,
+               count(*) FILTER (reply) AS n_examples, sha256(coalesce(string_agg(sha256(example), '' ORDER BY k) FILTER (reply), '')) AS examples_sha256
+        FROM x GROUP BY conv_id""",
     "op4_exact_dedup": """
         SELECT doc_id, max(doc_id) OVER g AS keep_id, count(*) OVER g AS group_size,
                doc_id = max(doc_id) OVER g AS kept, sha256(coalesce(text, '')) AS text_sha256

@@ -6,11 +6,13 @@ keys are its host's endings with as many labels as rules have, times its path's
 lengths that rules' paths have.  The keys of all rules sit in a Bloom filter whose blocks are four
 longs, one bit set in each; a candidate reads the one block that its hash names.  What passes joins
 the rules on host and path, which takes away the false positives.  A rule that fits is fully given
-by the two lengths, so the best one comes out of a maximum over longs, and no text is shuffled.
+by the two lengths, so the best one comes out of a maximum over longs, by page: that is the only shuffle, of
+each page's host and path once.
 
 Cases: a null URL, or one without "://", has an empty host and path and fits no rule; without a rule
 the method's verdict is allow, as the URL isn't listed; repeated rules count once; repeated pages are
-judged each; other columns are never read; both tables may be empty.
+judged each; very long URLs only cost their length (candidates are as many as rules' labels and lengths);
+other columns are never read, whatever their names; both tables may be empty.
 """
 
 from __future__ import annotations

@@ -48,6 +48,13 @@ def test_empty_tables(spark, pages):
     assert got(spark, [], url_filter.rules_table(spark)) == []
 
 
+def test_clashing_columns(spark):
+    names = "page_id long, url string, _rid long, pos int, key string, block long, bits long, h string, p string, code long, html string"
+    pages = [(i, u, 1, 2, "k", 3, 4, "h", "p", 5, None) for i, u in CASES]
+    made = url_filter.judge(spark.createDataFrame(pages, names), url_filter.rules_table(spark))
+    assert sorted(repr(tuple(r)) for r in made.collect()) == brute(CASES, url_filter.RULES)
+
+
 def test_no_python_on_the_executors(spark):
     df = url_filter.judge(spark.createDataFrame([(1, "http://x.net/")], PAGES).select("page_id", "url"), url_filter.rules_table(spark))
     assert "Python" not in df._jdf.queryExecution().optimizedPlan().toString()
