@@ -1,23 +1,25 @@
 """Operator 5: language-model scores from a hashed maximum-entropy model with a class-factored softmax.
 
-P(token | two tokens before) = P(class | both) * P(token | class, the token before).  The TOP most
-frequent tokens make classes of CLASS_WORDS by rank; every other token's class is a hash of its last
-three bytes, and inside it the token has its add-one share of the class's counts, with room for one
-unseen token.  So the probabilities of all tokens sum to one, unseen ones included.
-
-Features of a class are the token before (n-gram), the one before that (skip) and a hash of both into
-HASHED rows; features of a token in its class are hashes of the class and the token before into HASHED
-rows.  What training needs of the corpus are counts of pairs and contexts: one pass over all training
-texts gathers them, and their number is bounded by the vocabulary's square.  Training then repeats: the
-weights go out, tasks compute expected counts of their share of the contexts, and the weights move by
-the gradient (observed - expected - prior) over a bound on its curvature.
+P(token | two tokens before) = P(class | both) * P(slot | class, the token before) * P(token | slot).  The TOP
+most frequent tokens make classes of SLOTS by rank, each a slot of its own; every other token's class is a
+hash of its last three bytes and its slot a hash of the whole token, and in its slot it has its add-one share
+of the slot's counts, with room for one unseen token.  So the probabilities of all tokens sum to one, unseen
+ones included.
+
+Features of a class are the token before (n-gram), the one before that (skip) and both together; features of a
+slot are its class with the token before.  Each feature is hashed from the tokens' own 64-bit hashes, of the
+whole vocabulary, into a row of a table; the tables' number of rows follows the number of distinct training
+tokens, from LEAST_BITS to MOST_BITS.  Training goes once over all training texts, in ROUNDS parts: the
+weights go out, tasks sum up observed and expected counts of every row over their texts, the sums are added up
+table block by table block in tasks again, and the weights move by the scaled log ratio of the two.
 
 Token counts of the base score cover all training texts.  Up to BROADCAST_WORDS distinct tokens they
 go to the tasks as a sorted table; beyond, documents' distinct tokens meet them in a shuffled join.
 
 Cases: null and empty texts have the end token only; without training texts all counts are zero and
-the base score is 0; repeated rows score alike; null ids are in the fold of the empty text; columns
-other than doc_id and text are never read; an empty table gives an empty result.
+the base score is 0; repeated rows score alike; null ids are in the fold of the empty text; very long texts are
+worked on in pieces of CHUNK tokens, but a text must fit a worker some forty times over; columns other than
+doc_id and text are never read; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -34,16 +36,20 @@ from tamarack.llm import textkit as tk
 from tamarack.llm.tables import Table
 
 FOLDS, HELD_OUT = 7, 2
-TOP, CLASS_WORDS, TAILS, HASHED = 512, 32, 32, 1 << 12
-CLASSES = TOP // CLASS_WORDS + TAILS
-START = TOP + TAILS
-IDS = START + 1
-STEPS, PRIOR, FEATURES, PARTS = 25, 2.0, 4, 8
+TOP, SLOTS, TAILS = 512, 32, 32
+CLASSES = TOP // SLOTS + TAILS
+#: Rows of the tables as powers of two: about one for WORDS_A_ROW distinct tokens, between the two bounds.
+LEAST_BITS, MOST_BITS, WORDS_A_ROW = 15, 18, 128
+ROUNDS, PRIOR, CHUNK = 4, 4.0, 1 << 15
+#: Parts of a log ratio that a round moves a feature by: three features make a class, one makes a slot.
+STEP = {"one": 0.5, "two": 0.5, "both": 0.5, "slot": 1.0}
+SUM_ROWS = 1 << 11
 BROADCAST_WORDS = 8 << 20
 MERGE_AT = 1 << 20
 END = np.uint64(0x5851F42D4C957F2D)
+START = np.uint64(0x14057B7EF767814F)
 _TAIL = np.uint64(64 - int(np.log2(TAILS)))
-_MUL = np.uint64(0x9E3779B97F4A7C15)
+_ROW = tk.randoms(5, 31) | np.uint64(1)
 
 
 def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -60,220 +66,167 @@ def tokens(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray,
     return h, tail, at + np.arange(n_docs + 1)
 
 
-def before(ids: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Ids one and two tokens before each token of its document."""
-    one, two = np.full(len(ids), START, ids.dtype), np.full(len(ids), START, ids.dtype)
-    one[1:] = ids[:-1]
+def before(h: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the tokens one and two before each token of its document."""
+    one, two = np.full(len(h), START, np.uint64), np.full(len(h), START, np.uint64)
+    one[1:] = h[:-1]
     one[at[:-1]] = START
     two[1:] = one[:-1]
     two[at[:-1]] = START
     return one, two
 
 
-def _rows(*parts: np.ndarray) -> np.ndarray:
-    """Hashed rows of combinations of small numbers."""
-    x = np.zeros(len(parts[0]), np.uint64)
-    for p in parts:
-        x = (x + p.astype(np.uint64) + np.uint64(1)) * _MUL
-    return (tk.mix(x) % np.uint64(HASHED)).astype(np.int64)
+class Words:
+    """Classes and slots of tokens: the top ones by rank, the others by hashes."""
 
+    def __init__(self, top: np.ndarray) -> None:
+        order = np.argsort(top)
+        self.top, self.rank = Table(top[order], np.zeros(len(top))), order
 
-def class_of(ids: np.ndarray) -> np.ndarray:
-    return np.where(ids < TOP, ids // CLASS_WORDS, TOP // CLASS_WORDS + ids - TOP)
+    def places(self, h: np.ndarray, tail: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class, slot, and whether a token is outside the top, so only has a share of its slot."""
+        k = self.top.find(h)
+        rank = self.rank[np.maximum(k, 0)] if len(self.rank) else np.zeros(len(h), np.int64)
+        outside = k < 0
+        kind = np.where(outside, TOP // SLOTS + tail, rank // SLOTS)
+        slot = np.where(outside, (tk.mix(h ^ START) % np.uint64(SLOTS)).astype(np.int64), rank % SLOTS)
+        return kind, slot, outside
 
 
 class Weights:
-    """Log-linear weights; each has the shape of the counts that its gradient compares."""
+    """Log-linear weights: a class table for each kind of context, a slot table, and the biases."""
 
-    def __init__(self) -> None:
+    def __init__(self, bits: int) -> None:
         z = lambda *shape: np.zeros(shape, np.float32)
-        self.bias, self.one, self.two, self.both = z(1, CLASSES), z(IDS, CLASSES), z(IDS, CLASSES), z(HASHED, CLASSES)
-        self.word_bias, self.word_one = z(TOP // CLASS_WORDS, CLASS_WORDS), z(HASHED, CLASS_WORDS)
-
-    def parts(self) -> dict[str, np.ndarray]:
-        return self.__dict__
-
-    def classes(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Log-probabilities of all classes in each context."""
-        x = self.one[one] + self.two[two]
-        x += self.both[_rows(one, two)]
+        self.bits = bits
+        self.tables = {"one": z(1 << bits, CLASSES), "two": z(1 << bits, CLASSES), "both": z(1 << bits, CLASSES), "slot": z(1 << bits, SLOTS)}
+        self.bias, self.slot_bias = z(CLASSES), z(CLASSES, SLOTS)
+
+    def rows(self, one: np.ndarray, two: np.ndarray, kind: np.ndarray) -> dict[str, np.ndarray]:
+        """The row of each feature of tokens with these hashes before them."""
+        code = {"one": one * _ROW[0], "two": two * _ROW[1], "both": one * _ROW[2] + two * _ROW[3], "slot": one + (kind.astype(np.uint64) + np.uint64(1)) * _ROW[4]}
+        return {k: (tk.mix(x) >> np.uint64(64 - self.bits)).astype(np.int64) for k, x in code.items()}
+
+    def classes(self, rows: dict[str, np.ndarray]) -> np.ndarray:
+        """Log-probabilities of all classes."""
+        x = self.tables["one"][rows["one"]]
+        x += self.tables["two"][rows["two"]]
+        x += self.tables["both"][rows["both"]]
         x += self.bias
         return _log_softmax(x)
 
-    def words(self, one: np.ndarray, kind: np.ndarray) -> np.ndarray:
-        """Log-probabilities of a top class's words after each token."""
-        return _log_softmax(self.word_bias[kind] + self.word_one[_rows(one, kind)])
+    def slots(self, rows: dict[str, np.ndarray], kind: np.ndarray) -> np.ndarray:
+        """Log-probabilities of the slots of one class for each token."""
+        x = self.tables["slot"][rows["slot"]]
+        x += self.slot_bias[kind]
+        return _log_softmax(x)
 
 
 def _log_softmax(x: np.ndarray) -> np.ndarray:
     x -= x.max(1, keepdims=True)
-    return x - np.log(np.exp(x).sum(1, keepdims=True))
+    x -= np.log(np.exp(x).sum(1, keepdims=True))
+    return x
 
 
 class Scorer:
-    """What a task needs: top tokens, counts (if they are broadcast), class totals and weights."""
-
-    def __init__(self, top: np.ndarray, rest: np.ndarray, weights: Weights, counts: Table | None, n: int, v: int) -> None:
-        order = np.argsort(top)
-        self.top, self.rank = Table(top[order], np.zeros(len(top))), order
-        self.log_rest, self.weights, self.counts, self.n, self.v = np.log10(rest), weights, counts, n, v
-
-    def ids(self, h: np.ndarray, tail: np.ndarray) -> np.ndarray:
-        return _ids(self.top, self.rank, h, tail)
-
-    def model(self, ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-        """log10 probability of each token but for the counts of tokens outside the top."""
-        one, two = before(ids, at)
-        context, where = np.unique(one.astype(np.int64) * IDS + two, return_inverse=True)
-        kind = class_of(ids)
-        logp = np.empty(len(ids))
-        order = np.argsort(where, kind="stable")
-        ends = np.searchsorted(where[order], np.arange(len(context) + 1))
-        for lo in range(0, len(context), 1 << 15):
-            own = order[ends[lo] : ends[min(lo + (1 << 15), len(context))]]
-            c = context[lo : lo + (1 << 15)]
-            logp[own] = self.weights.classes(c // IDS, c % IDS)[where[own] - lo, kind[own]]
-        high = np.flatnonzero(ids < TOP)
-        pair, where = np.unique(one[high].astype(np.int64) * CLASSES + kind[high], return_inverse=True)
-        for lo in range(0, len(pair), 1 << 15):
-            own = np.flatnonzero((where >= lo) & (where < lo + (1 << 15)))
-            c = pair[lo : lo + (1 << 15)]
-            logp[high[own]] += self.weights.words(c // CLASSES, c % CLASSES)[where[own] - lo, ids[high[own]] % CLASS_WORDS]
+    """What a task needs: classes and slots, counts (if they are broadcast), slots' totals and weights."""
+
+    def __init__(self, words: Words, rest: np.ndarray, weights: Weights, counts: Table | None, n: int, v: int) -> None:
+        self.words, self.log_rest, self.weights, self.counts, self.n, self.v = words, np.log10(rest), weights, counts, n, v
+
+    def model(self, h: np.ndarray, tail: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probability of each token, but for the counts of tokens outside the top; and which these are."""
+        one, two = before(h, at)
+        kind, slot, outside = self.words.places(h, tail)
+        logp = np.empty(len(h))
+        for lo in range(0, len(h), CHUNK):
+            own = slice(lo, lo + CHUNK)
+            rows = self.weights.rows(one[own], two[own], kind[own])
+            i = np.arange(len(rows["one"]))
+            logp[own] = self.weights.classes(rows)[i, kind[own]] + self.weights.slots(rows, kind[own])[i, slot[own]]
         logp /= np.log(10)
-        low = ids >= TOP
-        logp[low] -= self.log_rest[ids[low] - TOP]
-        return logp
+        logp[outside] -= self.log_rest[kind[outside] - TOP // SLOTS, slot[outside]]
+        return logp, outside
 
 
-def _ids(top: Table, rank: np.ndarray, h: np.ndarray, tail: np.ndarray) -> np.ndarray:
-    k = top.find(h)
-    if not len(rank):
-        return (TOP + tail).astype(np.int32)
-    return np.where(k >= 0, rank[np.maximum(k, 0)], TOP + tail).astype(np.int32)
+def _add(out: np.ndarray, rows: np.ndarray, x: np.ndarray) -> None:
+    """out[rows] += x, rows summed in their order first."""
+    order = np.argsort(rows, kind="stable")
+    rows = rows[order]
+    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
+    out[rows[first]] += np.add.reduceat(x[order], first, axis=0)
 
 
-def _summed(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
-    key, n = (np.concatenate(x) for x in zip(*parts, strict=True))
-    order = np.argsort(key)
-    key, n = key[order], n[order]
-    first = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-    return key[first], np.add.reduceat(n, first)
+class Sums:
+    """Observed and expected counts of all rows of all tables over some texts."""
 
+    def __init__(self, weights: Weights) -> None:
+        self.weights = weights
+        self.seen, self.expected = ({k: np.zeros(x.shape, np.float32) for k, x in weights.tables.items()} for _ in range(2))
 
-def _tally(rows: DataFrame, keys) -> DataFrame:
-    """(key, n): how often each key that ``keys(data, offsets)`` gives occurs; summed in bounded maps first."""
+    def add(self, words: Words, h: np.ndarray, tail: np.ndarray, at: np.ndarray) -> None:
+        one, two = before(h, at)
+        kind, slot, _ = words.places(h, tail)
+        for lo in range(0, len(h), CHUNK):
+            own = slice(lo, lo + CHUNK)
+            rows = self.weights.rows(one[own], two[own], kind[own])
+            p, q = np.exp(self.weights.classes(rows)), np.exp(self.weights.slots(rows, kind[own]))
+            for name, row in rows.items():
+                width, target, x = (SLOTS, slot[own], q) if name == "slot" else (CLASSES, kind[own], p)
+                _add(self.expected[name], row, x)
+                cell, n = np.unique(row * width + target, return_counts=True)
+                self.seen[name].reshape(-1)[cell] += n
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, size = [], 0
-        out = lambda k, n: pa.RecordBatch.from_arrays([pa.array(k.view(np.int64)), pa.array(n, pa.int64())], names=["key", "n"])
-        for batch in batches:
-            for _, _, data, offs in tk.blocks(batch.column(0)):
-                k, n = np.unique(keys(data, offs), return_counts=True)
-                parts.append((k, n))
-                if (size := size + len(k)) > MERGE_AT:
-                    parts = [_summed(parts)]
-                    if (size := len(parts[0][0])) > MERGE_AT // 2:
-                        yield out(*parts[0])
-                        parts, size = [], 0
-        if size:
-            yield out(*_summed(parts))
-
-    return rows.mapInArrow(tk.tidy(run), "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
-
-
-_PAIR_CODES = IDS * IDS  # codes of contexts come first, then of (before, token), (before the last, class), (hash of both, class)
-
-
-def _codes(ids: np.ndarray, at: np.ndarray) -> np.ndarray:
-    one, two = (x.astype(np.int64) for x in before(ids, at))
-    kind = class_of(ids).astype(np.int64)
-    skip, both = 2 * _PAIR_CODES, 2 * _PAIR_CODES + IDS * CLASSES
-    return np.concatenate([one * IDS + two, _PAIR_CODES + one * IDS + ids, skip + two * CLASSES + kind, both + _rows(one, two) * CLASSES + kind])
-
-
-def _observed(key: np.ndarray, n: np.ndarray) -> tuple[Weights, np.ndarray, np.ndarray]:
-    """Counts in the shape of the weights; contexts' counts; counts of (before, top class)."""
-    size = 2 * _PAIR_CODES + IDS * CLASSES + HASHED * CLASSES
-    flat = np.zeros(size)
-    flat[key] = n
-    contexts = flat[:_PAIR_CODES]
-    pair = flat[_PAIR_CODES : 2 * _PAIR_CODES].reshape(IDS, IDS)
-    seen = Weights()
-    kinds = class_of(np.arange(START))
-    one = np.zeros((IDS, CLASSES))
-    np.add.at(one.T, kinds, pair[:, :START].T)
-    seen.one, seen.bias = one, one.sum(0, keepdims=True)
-    seen.two = flat[2 * _PAIR_CODES : 2 * _PAIR_CODES + IDS * CLASSES].reshape(IDS, CLASSES)
-    seen.both = flat[2 * _PAIR_CODES + IDS * CLASSES :].reshape(HASHED, CLASSES)
-    inside = pair[:, :TOP].reshape(IDS, -1, CLASS_WORDS)
-    seen.word_bias, seen.word_one = inside.sum(0), np.zeros((HASHED, CLASS_WORDS))
-    a, c = np.nonzero(inside.sum(2))
-    np.add.at(seen.word_one, _rows(a, c), inside[a, c])
-    return seen, contexts, inside.sum(2)
-
-
-def _expected(w: Weights, code: np.ndarray, n: np.ndarray) -> Weights:
-    """Expected counts of contexts (codes below _PAIR_CODES) and of (before, class) pairs, weighted by n."""
-    out = Weights()
-    top = code < _PAIR_CODES
-    one, two, m = code[top] // IDS, code[top] % IDS, n[top][:, None]
-    for lo in range(0, len(one), 1 << 14):
-        a, b = one[lo : lo + (1 << 14)], two[lo : lo + (1 << 14)]
-        p = np.exp(w.classes(a, b)) * m[lo : lo + (1 << 14)]
-        np.add.at(out.one, a, p)
-        np.add.at(out.two, b, p)
-        np.add.at(out.both, _rows(a, b), p)
-    out.bias = out.one.sum(0, keepdims=True)
-    a, c = np.divmod(code[~top] - _PAIR_CODES, TOP // CLASS_WORDS)
-    p = np.exp(w.words(a, c)) * n[~top][:, None]
-    np.add.at(out.word_one, _rows(a, c), p)
-    np.add.at(out.word_bias, c, p)
-    return out
-
-
-def _row_of(code: np.ndarray) -> np.ndarray:
-    top = code < _PAIR_CODES
-    out = np.empty(len(code), np.int64)
-    out[top] = _rows(code[top] // IDS, code[top] % IDS)
-    out[~top] = _rows(*np.divmod(code[~top] - _PAIR_CODES, TOP // CLASS_WORDS))
-    return out
-
-
-def train(stats: DataFrame, steps: int = STEPS) -> Weights:
-    """Weights from the (key, n) counts of ``_codes``; each step's expectations are computed by tasks."""
-    spark = stats.sparkSession
-    t = stats.toArrow()  # bounded by the number of codes
-    seen, contexts, inside = _observed(t["key"].to_numpy(), t["n"].to_numpy())
-    w = Weights()
-    if not contexts.any():
-        return w
-    w.bias = np.log((seen.bias + 1) / (seen.bias + 1).sum()).astype(np.float32)
-    w.word_bias = np.log((seen.word_bias + 1) / (seen.word_bias + 1).sum(1, keepdims=True)).astype(np.float32)
-    code = np.concatenate([np.flatnonzero(contexts), _PAIR_CODES + np.flatnonzero(inside)])
-    weight = np.concatenate([contexts[contexts > 0], inside[inside > 0]]).astype(np.float32)
-    parts = max(1, min(PARTS, len(code) // (1 << 12)))
-    share = _row_of(code) % parts  # by hashed row, so each part has rows of its own and sends only those
-    shares = spark.sparkContext.broadcast([(code[share == k], weight[share == k]) for k in range(parts)])  # as bounded as the codes
-    for _ in range(steps):
-        sent = spark.sparkContext.broadcast(w)
-
-        def step(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+
+def _packed(x: np.ndarray) -> bytes:
+    """The upper halves of float32 numbers: counts to three digits."""
+    return ((x.view(np.uint32) + np.uint32(1 << 15)) >> np.uint32(16)).astype(np.uint16).tobytes()
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return (np.frombuffer(x, np.uint16).astype(np.uint32) << np.uint32(16)).view(np.float32)
+
+
+def _moved(weights: Weights, name: str, lo: int, seen: np.ndarray, expected: np.ndarray) -> None:
+    weights.tables[name][lo : lo + len(seen)] += (STEP[name] * np.log((seen + PRIOR) / (expected + PRIOR))).astype(np.float32)
+
+
+def train(rows: DataFrame, words: Words, weights: Weights, rounds: int = ROUNDS) -> None:
+    """Moves the weights in ``rounds`` rounds, each over a part of ``rows`` (doc_id, text), dealt out by the texts."""
+    spark = rows.sparkSession
+    sc = spark.sparkContext
+    part = F.pmod(F.xxhash64("text"), F.lit(rounds))
+    for k in range(rounds):
+        sent = sc.broadcast((words, weights))
+
+        def count(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
+            words, weights = sent.value
+            sums, some = Sums(weights), False
             for batch in batches:
-                for k in batch.column(0).to_pylist():
-                    got = {name: x[k::parts] if len(x) == HASHED else x for name, x in _expected(sent.value, *shares.value[k]).parts().items()}
-                    yield pa.RecordBatch.from_pydict({"part": pa.array([k] * len(got), pa.int64()), "name": list(got), "x": [x.astype(np.float32).tobytes() for x in got.values()]})
-
-        total = {k: np.zeros(x.shape) for k, x in w.parts().items()}
-        for r in spark.range(0, parts, 1, parts).mapInArrow(tk.tidy(step), "part long, name string, x binary").toArrow().to_pylist():
-            x = total[r["name"]]
-            x = x[r["part"] :: parts] if len(x) == HASHED else x
-            x += np.frombuffer(r["x"], np.float32).reshape(x.shape)
-        for k, x in w.parts().items():
-            slope = seen.parts()[k] - total[k] - (0 if "bias" in k else PRIOR) * x
-            x += np.clip(slope / (FEATURES * total[k] + PRIOR), -1, 1).astype(np.float32)
+                for _, _, data, offs in tk.blocks(batch.column(0)):
+                    sums.add(words, *tokens(data, offs))
+                    some = True
+            for name in sums.seen if some else ():
+                for lo in range(0, 1 << weights.bits, SUM_ROWS):
+                    seen, expected = (_packed(x[name][lo : lo + SUM_ROWS]) for x in (sums.seen, sums.expected))
+                    yield pa.RecordBatch.from_pydict({"name": [name], "lo": pa.array([lo], pa.int64()), "seen": [seen], "expected": [expected]})
+
+        def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held: dict[tuple[str, int], list[np.ndarray]] = {}
+            for batch in batches:
+                for name, lo, *both in zip(*(batch.column(c).to_pylist() for c in ("name", "lo", "seen", "expected")), strict=True):
+                    x = [_unpacked(b) for b in both]
+                    held[name, lo] = [a + b for a, b in zip(held[name, lo], x, strict=True)] if (name, lo) in held else x
+            for (name, lo), (seen, expected) in held.items():
+                yield pa.RecordBatch.from_pydict({"name": [name], "lo": pa.array([lo], pa.int64()), "seen": [_packed(seen)], "expected": [_packed(expected)]})
+
+        shape = "name string, lo long, seen binary, expected binary"
+        own = rows.filter(part == k).select("text").coalesce(max(1, sc.defaultParallelism))  # a task sends whole tables
+        summed = own.mapInArrow(tk.tidy(count), shape).repartition("name", "lo").mapInArrow(tk.tidy(total), shape)
+        for r in summed.toLocalIterator():
+            width = weights.tables[r["name"]].shape[1]
+            _moved(weights, r["name"], r["lo"], *(_unpacked(r[c]).reshape(-1, width) for c in ("seen", "expected")))
         sent.unpersist()
-    shares.unpersist()
-    return w
 
 
 def _with_tails(rows: DataFrame) -> DataFrame:
@@ -333,29 +286,37 @@ def _counts_table(counts: DataFrame, v: int) -> Table:
     return Table(key, n)
 
 
-def fit(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> tuple[Scorer, DataFrame]:
+def fit(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS, held_out: int = HELD_OUT) -> tuple[Scorer, DataFrame]:
     """The scorer, and the (key, tail, n) table of all training tokens' counts."""
     spark = docs.sparkSession
     store.ship_package(spark)
-    rows = docs.filter(labelled.fold("doc_id", FOLDS) != HELD_OUT).select(F.col("text").cast("string").alias("text"))
+    rows = docs.filter(labelled.fold("doc_id", FOLDS) != held_out).select(F.col("text").cast("string").alias("text"))
     counts = store.write_table(_with_tails(rows), "tokens")
     whole = counts.agg(F.count(F.lit(1)).alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     top = np.array([r["key"] for r in counts.orderBy(F.desc("n"), "key").limit(TOP).collect()], np.int64).view(np.uint64)
     if len(top) == TOP and END not in top:
         top[-1] = END
-    order = np.argsort(top)
-    shared = spark.sparkContext.broadcast((Table(top[order], np.zeros(len(top))), order))
-
-    def codes(data: np.ndarray, offs: np.ndarray) -> np.ndarray:
-        h, tail, at = tokens(data, offs)
-        return _codes(_ids(*shared.value, h, tail), at).view(np.uint64)
+    words = Words(top)
+    sent = spark.sparkContext.broadcast(words)
 
-    weights = train(_tally(rows, codes))
-    rest = np.ones(TAILS)
-    for r in counts.filter(~F.col("key").isin([int(x) for x in top.view(np.int64)])).groupBy("tail").agg(F.sum(F.col("n") + 1).alias("n")).collect():
-        rest[r["tail"]] += r["n"]
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kind, slot, outside = sent.value.places(batch.column(0).to_numpy().view(np.uint64), batch.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array(kind, pa.int64()), pa.array(slot, pa.int64()), pa.array(outside), batch.column(2)], names=["kind", "slot", "outside", "n"])
+
+    placed = counts.select("key", "tail", "n").mapInArrow(tk.tidy(places), "kind long, slot long, outside boolean, n long")
+    seen, rest = np.zeros((CLASSES, SLOTS)), np.ones((TAILS, SLOTS))
+    for r in placed.groupBy("kind", "slot", "outside").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("v")).collect():
+        seen[r["kind"], r["slot"]] += r["n"]
+        if r["outside"]:
+            rest[r["kind"] - TOP // SLOTS, r["slot"]] += r["n"] + r["v"]
+    weights = Weights(int(np.clip(int(whole["v"] // WORDS_A_ROW).bit_length(), LEAST_BITS, MOST_BITS)))
+    weights.bias[:] = np.log((seen.sum(1) + 1) / (seen.sum() + CLASSES))
+    weights.slot_bias[:] = np.log((seen + 1) / (seen.sum(1, keepdims=True) + SLOTS))
+    if whole["n"]:
+        train(rows, words, weights)
     table = _counts_table(counts, whole["v"]) if whole["v"] <= broadcast_words else None
-    return Scorer(top, rest, weights, table, whole["n"], whole["v"]), counts
+    return Scorer(words, rest, weights, table, whole["n"], whole["v"]), counts
 
 
 _OUT = "n_tokens long, n_known long, base_score double, score double"
@@ -382,9 +343,9 @@ def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
                 for lo, hi, data, offs in tk.blocks(batch.column(1)):
                     h, tail, at = tokens(data, offs)
                     found, c = m.counts.get(h)
-                    ids = m.ids(h, tail)
+                    logp, outside = m.model(h, tail, at)
                     more = np.log10(c + 1)
-                    out = [np.diff(at), sums(found, at).astype(np.int64), sums(more - np.log10(m.n + m.v + 1), at), sums(m.model(ids, at) + np.where(ids >= TOP, more, 0), at)]
+                    out = [np.diff(at), sums(found, at).astype(np.int64), sums(more - np.log10(m.n + m.v + 1), at), sums(logp + np.where(outside, more, 0), at)]
                     yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), *map(pa.array, out)], names=["doc_id", "n_tokens", "n_known", "base_score", "score"])
 
         return texts.mapInArrow(tk.tidy(run), "doc_id long, " + _OUT).select(*columns)
@@ -394,14 +355,15 @@ def score(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS) -> DataFrame:
         for batch in batches:
             for lo, hi, data, offs in tk.blocks(batch.column(1)):
                 h, tail, at = tokens(data, offs)
-                ids, doc = m.ids(h, tail), tk.owner(at, len(h))
-                logp = sums(m.model(ids, at), at)
+                doc = tk.owner(at, len(h))
+                logp, outside = m.model(h, tail, at)
+                logp = sums(logp, at)
                 order = np.lexsort((h, doc))
                 first = np.flatnonzero(np.concatenate([[True], (np.diff(h[order]) != 0) | (np.diff(doc[order]) != 0)]))
                 times, one = np.diff(np.append(first, len(h))), order[first]
                 own = np.concatenate([[True], np.diff(doc[one]) != 0])  # one of a document's rows carries what is the document's
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0).take(pa.array(lo + doc[one])), pa.array(h[one].view(np.int64)), pa.array(times, pa.int64()), pa.array(ids[one] >= TOP), pa.array(np.where(own, logp[doc[one]], 0.0))],
+                    [batch.column(0).take(pa.array(lo + doc[one])), pa.array(h[one].view(np.int64)), pa.array(times, pa.int64()), pa.array(outside[one]), pa.array(np.where(own, logp[doc[one]], 0.0))],
                     names=["_rid", "key", "times", "outside", "logp"],
                 )
 

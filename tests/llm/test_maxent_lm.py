@@ -62,27 +62,110 @@ def test_only_held_out_rows(spark):
     assert near(got(spark.createDataFrame([(i, "a b")], DOCS)), base([(i, "a b")]))
 
 
+def corpus(n=12):
+    words = [f"w{k}" for k in range(900)]
+    return [(i, " ".join(words[(i * 131 + j * j * 7) % 900] for j in range(250))) for i in range(n)]
+
+
 def test_probabilities_sum_to_one(spark):
-    words = [f"w{k}" for k in range(600)]
-    text = " ".join(words[(k * k) % 600] for k in range(3000)) + " " + " ".join(words)
-    i = next(k for k in range(100) if not held(k))
-    scorer, counts = lm.fit(spark.createDataFrame([(i, text), (i, text)], DOCS))
-    total = 0.0
-    vocabulary = {r.key: (r.tail, r.n) for r in counts.collect()}
-    key = np.array(list(vocabulary), np.int64).view(np.uint64)
-    tail = np.array([t for t, _ in vocabulary.values()], np.int32)
-    ids = scorer.ids(key, tail)
-    for context in ([lm.START, lm.START], [3, 700 % lm.TOP]):
-        one, two = np.full(len(ids), context[0]), np.full(len(ids), context[1])
-        logp = scorer.weights.classes(one, two)[np.arange(len(ids)), lm.class_of(ids)].astype(float)
-        high = ids < lm.TOP
-        logp[high] += scorer.weights.words(one[high], lm.class_of(ids)[high])[np.arange(high.sum()), ids[high] % lm.CLASS_WORDS]
-        p = np.exp(logp)
-        n = np.array([c for _, c in vocabulary.values()])
-        p[~high] *= (n[~high] + 1) / 10 ** scorer.log_rest[ids[~high] - lm.TOP]
-        unseen = np.exp(scorer.weights.classes(np.array(context[:1]), np.array(context[1:])))[0, lm.TOP // lm.CLASS_WORDS :] / 10**scorer.log_rest
-        total = p.sum() + unseen.sum()
-        assert abs(total - 1) < 1e-3
+    """All known tokens and, in each slot outside the top, the room for one unseen."""
+    scorer, counts = lm.fit(spark.createDataFrame(corpus(), DOCS))
+    known = counts.collect()
+    key = np.array([r.key for r in known], np.int64).view(np.uint64)
+    kind, slot, outside = scorer.words.places(key, np.array([r.tail for r in known]))
+    assert 0 < outside.sum() < len(known) and len(known) > lm.TOP
+    n = np.array([r.n for r in known])
+    for one, two in ((lm.START, lm.START), (key[3], lm.START), (key[200], key[-1])):
+        context = lambda size: (np.full(size, x, np.uint64) for x in (one, two))  # noqa: E731, B023
+        rows = scorer.weights.rows(*context(len(key)), kind)
+        at = np.arange(len(key))
+        p = np.exp(scorer.weights.classes(rows)[at, kind].astype(float) + scorer.weights.slots(rows, kind)[at, slot])
+        p[outside] *= (n[outside] + 1) / 10 ** scorer.log_rest[kind[outside] - lm.TOP // lm.SLOTS, slot[outside]]
+        low = np.arange(lm.TOP // lm.SLOTS, lm.CLASSES)
+        rows = scorer.weights.rows(*context(len(low)), low)
+        unseen = np.exp(scorer.weights.classes(rows)[np.arange(len(low)), low][:, None].astype(float) + scorer.weights.slots(rows, low)) / 10**scorer.log_rest
+        first = int(np.ceil(min(len(known), lm.TOP) / lm.SLOTS))
+        assert first * lm.SLOTS == lm.TOP and abs(p.sum() + unseen.sum() - 1) < 1e-3
+
+
+def hashes(text):
+    h, tail, _ = lm.tokens(np.frombuffer((text or "").encode(), np.uint8), np.array([0, len((text or "").encode())]))
+    return [int(x) for x in h], tail.tolist()
+
+
+def softmax(x):
+    e = [math.exp(v - max(x)) for v in x]
+    return [v / sum(e) for v in e]
+
+
+class Plain:
+    """The model token by token, straight from its definition."""
+
+    def __init__(self, rows, scorer):
+        self.w, self.words = scorer.weights, scorer.words
+        self.count = Counter(h for i, t in rows if not held(i) for h in hashes(t)[0])
+        self.tail = {h: c for _, t in rows for h, c in zip(*hashes(t))}
+        self.place = {h: tuple(int(x[0]) for x in self.words.places(np.array([h], np.uint64), np.array([c]))) for h, c in self.tail.items()}
+        self.rest = Counter()
+        for h, n in self.count.items():
+            if self.place[h][2]:
+                self.rest[self.place[h][:2]] += n + 1
+
+    def parts(self, text):
+        """(rows, class, slot, class probabilities, slot probabilities, share) of every token."""
+        h = hashes(text)[0]
+        for k, token in enumerate(h):
+            one, two = (h[k - j] if k >= j else int(lm.START) for j in (1, 2))
+            kind, slot, outside = self.place[token]
+            rows = {n: int(x[0]) for n, x in self.w.rows(np.array([one], np.uint64), np.array([two], np.uint64), np.array([kind])).items()}
+            tables = self.w.tables
+            p = softmax([float(self.w.bias[c] + sum(tables[n][rows[n], c] for n in ("one", "two", "both"))) for c in range(lm.CLASSES)])
+            q = softmax([float(self.w.slot_bias[kind, c] + tables["slot"][rows["slot"], c]) for c in range(lm.SLOTS)])
+            yield rows, kind, slot, p, q, (self.count[token] + 1) / (self.rest[kind, slot] + 1) if outside else 1.0
+
+    def score(self, text):
+        return sum(math.log10(p[kind] * q[slot] * share) for _, kind, slot, p, q, share in self.parts(text))
+
+
+@pytest.mark.parametrize("limit", [0, 1 << 20])
+def test_scores_against_brute_force(spark, limit):
+    rows = [*corpus(), *ODD[:4]]
+    df = spark.createDataFrame(rows, DOCS)
+    plain = Plain(rows, lm.fit(df)[0])
+    made = sorted((repr(r.doc_id), r.score) for r in lm.score(df, broadcast_words=limit).collect())
+    assert all(a == b and math.isclose(x, y, rel_tol=1e-4) for (a, x), (b, y) in zip(made, sorted((repr(i), plain.score(t)) for i, t in rows), strict=True))
+
+
+def test_a_round_of_training_against_brute_force(spark):
+    rows = [(i, t) for i, t in corpus(6) if not held(i)]
+    df = spark.createDataFrame(rows, DOCS).repartition(3)
+    scorer, _ = lm.fit(df)
+    for x in scorer.weights.tables.values():
+        x[:] = 0
+    plain = Plain(rows, scorer)
+    seen, expected = Counter(), Counter()
+    for _, text in rows:
+        for at, kind, slot, p, q, _ in plain.parts(text):
+            for name, row in at.items():
+                target, share = (slot, q) if name == "slot" else (kind, p)
+                seen[name, row, target] += 1
+                for c, x in enumerate(share):
+                    expected[name, row, c] += x
+    lm.train(df, scorer.words, scorer.weights, rounds=1)
+    for (name, row, c), x in expected.items():
+        want = lm.STEP[name] * math.log((seen[name, row, c] + lm.PRIOR) / (x + lm.PRIOR))
+        assert math.isclose(scorer.weights.tables[name][row, c], want, abs_tol=0.02)
+    assert sum((x != 0).any(1).sum() for x in scorer.weights.tables.values()) == len({k[:2] for k in expected})
+
+
+def test_rows_follow_whole_tokens():
+    """Any token, however rare, has rows of its own hash, before another and in its own slot."""
+    w = lm.Weights(lm.LEAST_BITS)
+    h = tk.hash_words([f"rare{k}".encode() for k in range(2000)])
+    rows = w.rows(h, np.roll(h, 1), np.zeros(2000, np.int64))
+    assert all(len(np.unique(x)) > 1900 for x in rows.values())
+    _, slot, outside = lm.Words(h[:0]).places(h, np.zeros(2000, np.int64))
+    assert outside.all() and len(np.unique(slot)) == lm.SLOTS
 
 
 def test_tokens_end_every_document():
