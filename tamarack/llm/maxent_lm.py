@@ -9,7 +9,7 @@ ones included.
 Features of a class are the token before (n-gram), the one before that (skip) and both together; features of a
 slot are its class with the token before.  Each feature is hashed from the tokens' own 64-bit hashes, of the
 whole vocabulary, into a row of a table; the tables' number of rows follows the number of distinct training
-tokens, from LEAST_BITS to MOST_BITS.  Training goes once over all training texts, in ROUNDS parts: the
+tokens, from LEAST_ROWS to MOST_ROWS.  Training goes once over all training texts, in ROUNDS parts: the
 weights go out, tasks sum up observed and expected counts of every row over their texts, the sums are added up
 table block by table block in tasks again, and the weights move by the scaled log ratio of the two.
 
@@ -36,11 +36,11 @@ from tamarack.llm import textkit as tk
 from tamarack.llm.tables import Table
 
 FOLDS, HELD_OUT = 7, 2
-TOP, SLOTS, TAILS = 512, 32, 32
+TOP, SLOTS, TAILS = 512, 32, 16
 CLASSES = TOP // SLOTS + TAILS
-#: Rows of the tables as powers of two: about one for WORDS_A_ROW distinct tokens, between the two bounds.
-LEAST_BITS, MOST_BITS, WORDS_A_ROW = 15, 18, 128
-ROUNDS, PRIOR, CHUNK = 4, 4.0, 1 << 15
+#: Rows of each table: one for WORDS_A_ROW distinct training tokens, between the two bounds.
+LEAST_ROWS, MOST_ROWS, WORDS_A_ROW = 1 << 14, 1 << 18, 100
+ROUNDS, PRIOR, CHUNK = 4, 4.0, 1 << 14
 #: Parts of a log ratio that a round moves a feature by: three features make a class, one makes a slot.
 STEP = {"one": 0.5, "two": 0.5, "both": 0.5, "slot": 1.0}
 SUM_ROWS = 1 << 11
@@ -96,16 +96,16 @@ class Words:
 class Weights:
     """Log-linear weights: a class table for each kind of context, a slot table, and the biases."""
 
-    def __init__(self, bits: int) -> None:
+    def __init__(self, size: int) -> None:
         z = lambda *shape: np.zeros(shape, np.float32)
-        self.bits = bits
-        self.tables = {"one": z(1 << bits, CLASSES), "two": z(1 << bits, CLASSES), "both": z(1 << bits, CLASSES), "slot": z(1 << bits, SLOTS)}
+        self.size = size
+        self.tables = {"one": z(size, CLASSES), "two": z(size, CLASSES), "both": z(size, CLASSES), "slot": z(size, SLOTS)}
         self.bias, self.slot_bias = z(CLASSES), z(CLASSES, SLOTS)
 
     def rows(self, one: np.ndarray, two: np.ndarray, kind: np.ndarray) -> dict[str, np.ndarray]:
         """The row of each feature of tokens with these hashes before them."""
         code = {"one": one * _ROW[0], "two": two * _ROW[1], "both": one * _ROW[2] + two * _ROW[3], "slot": one + (kind.astype(np.uint64) + np.uint64(1)) * _ROW[4]}
-        return {k: (tk.mix(x) >> np.uint64(64 - self.bits)).astype(np.int64) for k, x in code.items()}
+        return {k: ((tk.mix(x) >> np.uint64(32)) * np.uint64(self.size) >> np.uint64(32)).astype(np.int64) for k, x in code.items()}
 
     def classes(self, rows: dict[str, np.ndarray]) -> np.ndarray:
         """Log-probabilities of all classes."""
@@ -150,11 +150,10 @@ class Scorer:
 
 
 def _add(out: np.ndarray, rows: np.ndarray, x: np.ndarray) -> None:
-    """out[rows] += x, rows summed in their order first."""
-    order = np.argsort(rows, kind="stable")
-    rows = rows[order]
-    first = np.flatnonzero(np.concatenate([[True], rows[1:] != rows[:-1]]))
-    out[rows[first]] += np.add.reduceat(x[order], first, axis=0)
+    """out[rows] += x, rows that come twice too.  Numpy's fast way needs one flat index and its own float32, which
+    an array from a pickle doesn't have before it is viewed as such."""
+    at = rows[:, None] * x.shape[1] + np.arange(x.shape[1])
+    np.add.at(out.reshape(-1), at.reshape(-1), x.reshape(-1).view(np.float32))
 
 
 class Sums:
@@ -207,7 +206,7 @@ def train(rows: DataFrame, words: Words, weights: Weights, rounds: int = ROUNDS)
                     sums.add(words, *tokens(data, offs))
                     some = True
             for name in sums.seen if some else ():
-                for lo in range(0, 1 << weights.bits, SUM_ROWS):
+                for lo in range(0, weights.size, SUM_ROWS):
                     seen, expected = (_packed(x[name][lo : lo + SUM_ROWS]) for x in (sums.seen, sums.expected))
                     yield pa.RecordBatch.from_pydict({"name": [name], "lo": pa.array([lo], pa.int64()), "seen": [seen], "expected": [expected]})
 
@@ -226,7 +225,7 @@ def train(rows: DataFrame, words: Words, weights: Weights, rounds: int = ROUNDS)
         for r in summed.toLocalIterator():
             width = weights.tables[r["name"]].shape[1]
             _moved(weights, r["name"], r["lo"], *(_unpacked(r[c]).reshape(-1, width) for c in ("seen", "expected")))
-        sent.unpersist()
+        sent.destroy()
 
 
 def _with_tails(rows: DataFrame) -> DataFrame:
@@ -310,7 +309,7 @@ def fit(docs: DataFrame, broadcast_words: int = BROADCAST_WORDS, held_out: int =
         seen[r["kind"], r["slot"]] += r["n"]
         if r["outside"]:
             rest[r["kind"] - TOP // SLOTS, r["slot"]] += r["n"] + r["v"]
-    weights = Weights(int(np.clip(int(whole["v"] // WORDS_A_ROW).bit_length(), LEAST_BITS, MOST_BITS)))
+    weights = Weights(int(np.clip(whole["v"] // WORDS_A_ROW, LEAST_ROWS, MOST_ROWS)))
     weights.bias[:] = np.log((seen.sum(1) + 1) / (seen.sum() + CLASSES))
     weights.slot_bias[:] = np.log((seen + 1) / (seen.sum(1, keepdims=True) + SLOTS))
     if whole["n"]:

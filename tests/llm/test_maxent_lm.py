@@ -160,7 +160,7 @@ def test_a_round_of_training_against_brute_force(spark):
 
 def test_rows_follow_whole_tokens():
     """Any token, however rare, has rows of its own hash, before another and in its own slot."""
-    w = lm.Weights(lm.LEAST_BITS)
+    w = lm.Weights(lm.LEAST_ROWS)
     h = tk.hash_words([f"rare{k}".encode() for k in range(2000)])
     rows = w.rows(h, np.roll(h, 1), np.zeros(2000, np.int64))
     assert all(len(np.unique(x)) > 1900 for x in rows.values())
