@@ -6,10 +6,11 @@ document holds a whole window only if it holds every token, so the prefix that t
 the window's rarest token; a match at some place bounds where the window starts and ends, and both
 must lie in the document.  What is left is verified word by word.
 
-The benchmark goes to the tasks as an index of bounded blocks, which are built one at a time from
-item texts of at most BLOCK_ITEM_BYTES and loaded one at a time, so it may be of any size.
+The benchmark goes to the tasks as an index of bounded blocks: the driver reads it once, builds each from item
+texts of BLOCK_ITEM_BYTES, about, and keeps of all others only a count for each token; workers load one at a time.
+Tokens of all blocks are counted in one pass over the documents, and a second pass looks the windows up.
 
-Cases: null texts have no words; items without words have no windows; an item with a null id is
+Cases: null texts have no words; a very long text is one block and must fit a worker some forty times over; items without words have no windows; an item with a null id is
 called "null"; repeated items or item ids count once; other columns pass through or are left out,
 and those named like output columns are replaced; either table may be empty.
 """
@@ -21,6 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -55,7 +57,7 @@ class Windows:
     """The distinct windows of some items, and how they are found."""
 
     def __init__(self, items: list[tuple[str, str]], window: int = WINDOW, token_words: int = TOKEN_WORDS) -> None:
-        self.text, self.starts, self.ends = b"", [], []
+        self.starts, self.ends = [], []
         parts, at = [], 0
         first, length, self.names, of = [], [], [], []
         for name, text in items:
@@ -74,7 +76,8 @@ class Windows:
                 at += b - a
                 self.ends.append(at)
                 at += 1
-        self.text = b" ".join(parts)
+        self.text = np.frombuffer(b" ".join(parts), np.uint8)
+        self.starts, self.ends = np.array(self.starts, np.int64), np.array(self.ends, np.int64)
         h = tk.hash_words(parts)
         first, length, of = np.array(first, np.int64), np.array(length, np.int64), np.array(of, np.int64)
         full = np.zeros(len(first), np.uint64)
@@ -129,15 +132,24 @@ class Windows:
                 for j in range(int(length)):
                     total += h[start[at_length] + j] * tk._STEP[j]
                 at_length = at_length[tk.mix(total + np.uint64(length)) == self.hash[w[at_length]]]
-                found += [i for i in zip(d[at_length].tolist(), start[at_length].tolist(), w[at_length].tolist(), strict=True) if self._same(low, s, e, *i[1:])]
+                at_length = at_length[self._same(low, s, e, start[at_length], w[at_length], int(length))]
+                found.append((d[at_length], start[at_length], w[at_length]))
         if not found:
             return (np.zeros(0, np.int64),) * 3
-        return tuple(np.array(x, np.int64) for x in zip(*found, strict=True))
-
-    def _same(self, low: np.ndarray, s: np.ndarray, e: np.ndarray, start: int, w: int) -> bool:
-        n, first = int(self.length[w]), int(self.first[w])
-        mine = b" ".join(low[a:b].tobytes() for a, b in zip(s[start : start + n].tolist(), e[start : start + n].tolist(), strict=True))
-        return mine == self.text[self.starts[first] : self.ends[first + n - 1]]
+        return tuple(np.concatenate(x) for x in zip(*found, strict=True))
+
+    def _same(self, low: np.ndarray, s: np.ndarray, e: np.ndarray, start: np.ndarray, w: np.ndarray, n: int) -> np.ndarray:
+        """Whether the n words from each start on are, byte for byte, those of a window."""
+        words = np.arange(n)
+        mine, its = (start[:, None] + words).ravel(), (self.first[w][:, None] + words).ravel()
+        size = e[mine] - s[mine]
+        alike = size == self.ends[its] - self.starts[its]
+        size = np.where(alike, size, 0)
+        until = np.cumsum(size)
+        step = np.arange(until[-1] if len(until) else 0) - np.repeat(until - size, size)
+        differ = low[np.repeat(s[mine], size) + step] != self.text[np.repeat(self.starts[its], size) + step]
+        alike &= np.bincount(np.repeat(np.arange(len(size)), size)[differ], minlength=len(size)) == 0
+        return alike.reshape(-1, n).all(1)
 
 
 def _one(text: str) -> tuple[np.ndarray, np.ndarray]:
@@ -157,38 +169,60 @@ def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
         yield block
 
 
+def _counted(texts: DataFrame, tokens: list[Broadcast]) -> dict[int, dict[int, np.ndarray]]:
+    """By block and by words in a token: how often each of the block's tokens stands in all ``texts``."""
+
+    def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[int, int], np.ndarray] = {}
+        for batch in batches:
+            for _, _, data, offs in tk.blocks(batch.column(0)):
+                _, _, _, h, at = tk.words(data, offs, tk.ALNUM)
+                last = np.repeat(at[1:], np.diff(at))
+                for block, b in enumerate(tokens):
+                    for k, t in b.value.items():
+                        place, member = t.find(tk.shingles(h, k))
+                        n = np.bincount(member[place + k <= last[place]], minlength=len(t.sorted))
+                        counts[block, k] = counts[block, k] + n if (block, k) in counts else n
+                    if len(tokens) > 1:
+                        b.__dict__.pop("_value", None)  # read again from the worker's disk when it's next needed
+        for (block, k), c in counts.items():
+            some = np.flatnonzero(c)
+            yield pa.RecordBatch.from_pydict({"block": pa.array(np.full(len(some), block), pa.int32()), "size": pa.array(np.full(len(some), k), pa.int32()), "token": pa.array(some, pa.int64()), "n": pa.array(c[some], pa.int64())})
+
+    out = {}
+    for block, b in enumerate(tokens):
+        out[block] = {k: np.zeros(len(t.sorted), np.int64) for k, t in b.value.items()}
+        b.__dict__.pop("_value", None)
+    if tokens:
+        for r in texts.mapInArrow(tk.tidy(tally), "block int, size int, token long, n long").groupBy("block", "size", "token").agg(F.sum("n").alias("n")).toLocalIterator():
+            out[r["block"]][r["size"]][r["token"]] = r["n"]
+    return out
+
+
 def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items (long) and items (array of the item ids, sorted as strings)."""
     spark = docs.sparkSession
     store.ship_package(spark)
     sc = spark.sparkContext
     text_only = docs.select(F.col(f"`{text_col}`").cast("string").alias("text"))
-    shared = []
+    shared, tokens = [], []
     for items in _item_blocks(benchmark):
         index = Windows(items)
-        tokens = sc.broadcast(index.tokens)
-
-        def tally(batches: Iterator[pa.RecordBatch], tokens=tokens) -> Iterator[pa.RecordBatch]:
-            sets = tokens.value
-            counts = {k: np.zeros(len(t.sorted), np.int64) for k, t in sets.items()}
-            for batch in batches:
-                for _, _, data, offs in tk.blocks(batch.column(0)):
-                    _, _, _, h, at = tk.words(data, offs, tk.ALNUM)
-                    last = np.repeat(at[1:], np.diff(at))
-                    for k, t in sets.items():
-                        place, member = t.find(tk.shingles(h, k))
-                        counts[k] += np.bincount(member[place + k <= last[place]], minlength=len(t.sorted))
-            for k, c in counts.items():
-                some = np.flatnonzero(c)
-                yield pa.RecordBatch.from_pydict({"size": pa.array(np.full(len(some), k), pa.int32()), "token": pa.array(some, pa.int64()), "n": pa.array(c[some], pa.int64())})
-
-        counts = {k: np.zeros(len(t.sorted), np.int64) for k, t in index.tokens.items()}
-        for r in text_only.mapInArrow(tk.tidy(tally), "size int, token long, n long").groupBy("size", "token").agg(F.sum("n").alias("n")).toLocalIterator():
-            counts[r["size"]][r["token"]] = r["n"]
-        index.choose(counts)
-        index.tokens, index.token_hash = {}, {}
+        tokens.append(sc.broadcast(index.tokens))
         shared.append(sc.broadcast(index))
-        tokens.unpersist()
+        del index
+    counts = _counted(text_only, tokens)
+    for t in tokens:
+        t.destroy()
+    chosen = []
+    for k, b in enumerate(shared):
+        index = b.value
+        index.choose(counts.pop(k))
+        index.tokens, index.token_hash = {}, {}
+        chosen.append(sc.broadcast(index))
+        b.destroy()
+        del index
+    shared = chosen
 
     added = ["n_words", "n_hit", "n_items", "items"]
     rest = [c for c in docs.columns if c not in added and (keep_text or c != text_col)]

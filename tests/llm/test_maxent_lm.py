@@ -163,7 +163,8 @@ def test_rows_follow_whole_tokens():
     w = lm.Weights(lm.LEAST_ROWS)
     h = tk.hash_words([f"rare{k}".encode() for k in range(2000)])
     rows = w.rows(h, np.roll(h, 1), np.zeros(2000, np.int64))
-    assert all(len(np.unique(x)) > 1900 for x in rows.values())
+    spread = lm.LEAST_ROWS * (1 - math.exp(-2000 / lm.LEAST_ROWS))  # distinct rows of a good hash
+    assert all(abs(len(np.unique(x)) - spread) < 40 for x in rows.values())
     _, slot, outside = lm.Words(h[:0]).places(h, np.zeros(2000, np.int64))
     assert outside.all() and len(np.unique(slot)) == lm.SLOTS
 
