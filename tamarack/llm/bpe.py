@@ -378,14 +378,15 @@ def _encoder(docs: DataFrame, vocabulary: Vocabulary, shared: Broadcast, text_co
                 distinct = set().union(*(p for doc in parts for p in doc[::2]))
                 if len(memo) + len(distinct) > 2 * MEMO_WORDS:
                     memo.clear()
-                learn([w for w in distinct if w not in memo])
+                new = [w for w in distinct if w not in memo]
+                learn(new)
                 get = memo.__getitem__
                 out = [b"".join(b"".join(map(get, p)) if not k % 2 else vocab.special[p].to_bytes(4, "little") for k, p in enumerate(doc)) for doc in parts]
                 n = pa.array([len(x) // 4 for x in out], pa.int64())
                 yield pa.RecordBatch.from_arrays([*batch.slice(lo, len(out)).columns[: len(rest)], n, pa.array(out, pa.binary())], names=[*rest, "n_tokens", "ids"])
-                for w in distinct:
+                for w in new:
                     if len(w) > LEXICON_CHARS:
-                        memo.pop(w, None)
+                        del memo[w]
 
     return docs.select(*[F.col(f"`{c}`") for c in rest], F.col(text_col).cast("string").alias("_text")), fields, run
 
