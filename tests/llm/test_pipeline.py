@@ -40,11 +40,30 @@ def test_whole_pipeline(spark, sf):
     assert sorted(tuple(r) for r in corpus_pipeline.run(spark, sf).collect()) == sorted(want)
 
 
-@pytest.mark.parametrize("k", range(4))
+COLUMNS = "doc_id long, text string, lang string, source string, n_chars long"
+ODD = [(1, None, None, None, None), (None, "x y", "en", "s", 3), (2, "", "en", "s", 0), (2, "", "en", "s", 0)]
+
+
+@pytest.mark.parametrize("k", range(5))
 def test_stages_take_odd_and_empty_tables(spark, sf, k):
-    columns = "doc_id long, text string, lang string, source string, n_chars long"
-    rows = [(1, None, None, None, None), (None, "x y", "en", "s", 3), (2, "", "en", "s", 0), (2, "", "en", "s", 0)]
     stage = corpus_pipeline.STAGES[k][1]
-    for some in (rows, []):
-        made = stage(spark, spark.createDataFrame(some, columns), sf)
-        assert made.columns == corpus_pipeline.COLUMNS and made.count() == (0 if not some else 2 if k == 1 else 4)
+    for some in (ODD, []):
+        made = stage(spark, spark.createDataFrame(some, COLUMNS), sf)
+        assert made.columns == (corpus_pipeline.COLUMNS if k < 4 else ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        assert made.count() == (0 if not some else 2 if k == 1 else 4)
+
+
+@pytest.mark.parametrize("k", range(5))
+def test_stages_pass_clashing_columns_and_long_texts(spark, sf, k):
+    """Columns named like those that operators make, and a long text, come through as they are."""
+    long = " ".join(f"word{j * j % 7919}" for j in range(60_000)) + " " + "x" * 200_000
+    rows = [(*r, 7, 8, 9, 1.5) for r in (*ODD[:3], (3, long, "en", "s", len(long)), (4, "plain text of a few words only", "en", "s", 30))]
+    df = spark.createDataFrame(rows, COLUMNS + ", _rid int, n_tokens int, node int, toxicity double")
+    made = corpus_pipeline.STAGES[k][1](spark, df, sf)
+    got = made.collect()
+    if k < 4:
+        assert made.columns == df.columns and {tuple(r)[5:] for r in got} == {(7, 8, 9, 1.5)}
+        assert {r.text for r in got} >= {long, "plain text of a few words only"} and len(got) == (4 if k == 1 else 5)
+    else:
+        tok = Tokenizer.from_file(bpe.default_vocabulary())
+        assert {r.doc_id: r.n_tokens for r in got}[3] == len(tok.encode(long, add_special_tokens=False).ids)
