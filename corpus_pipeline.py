@@ -3,6 +3,11 @@
 Every stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as Parquet and read
 again as the next one's docs.  All but the last return the columns of ``documents``; the last has a
 row for each document left, with the number and digests of its tokens.
+
+Cases: a null text is empty in every stage and keeps its null; empty texts are equal, so exact dedup leaves one;
+null ids are rows like others, below every id; of repeated rows exact dedup leaves one, and of ids that tie one
+row stays; very long texts pass whole; further columns of ``documents``, whatever their names, pass through all
+stages but the last, which returns its four columns only; an empty table stays empty.
 """
 
 from __future__ import annotations
