@@ -237,7 +237,6 @@ def clusters(docs: DataFrame) -> DataFrame:
     own = signed.filter("node is not null").groupBy("node").agg(F.min(order).alias("best"))
     own = own.join(root, "node", "left").withColumn("root", F.coalesce("root", "node"))
     of_root = store.write_table(own.groupBy("root").agg(F.min("best").alias("best")), "roots")  # so that a large component can be split
-    of_root = store.broadcast_if_small(of_root, of_root.count(), 40)
     final = store.write_table(own.select("node", "root").join(of_root, "root").select("node", F.col("best.doc_id").alias("c"), F.col("best._rid").alias("keep")), "final")
     alone = F.col("node").isNull()
     out = signed.select("_rid", "doc_id", "n", "node").join(final, "node", "left")
