@@ -9,6 +9,7 @@ must lie in the document.  What is left is verified word by word.
 The benchmark goes to the tasks as an index of bounded blocks: the driver reads it once, builds each from item
 texts of BLOCK_ITEM_BYTES, about, and keeps of all others only a count for each token; workers load one at a time.
 Tokens of all blocks are counted in one pass over the documents, and a second pass looks the windows up.
+Items of more than INDEX_BYTES together aren't made an index: ``decontam_join`` shuffles windows and documents, with the same results.
 
 Cases: null texts have no words; a very long text is one block and must fit a worker some forty times over; items without words have no windows; an item with a null id is
 called "null"; repeated items or item ids count once; other columns pass through or are left out,
@@ -27,11 +28,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tamarack.llm import store
+from tamarack.llm import decontam_join, store
 from tamarack.llm import textkit as tk
 
 WINDOW, TOKEN_WORDS = 10, 5
 BLOCK_ITEM_BYTES = 8 << 20
+INDEX_BYTES = 32 << 20
 _FILTER_BITS = 20
 
 
@@ -157,6 +159,10 @@ def _one(text: str) -> tuple[np.ndarray, np.ndarray]:
     return data, np.array([0, len(data)], np.int64)
 
 
+def _item_bytes(benchmark: DataFrame) -> int:
+    return benchmark.agg(F.sum(F.octet_length(F.col("text").cast("string"))).alias("n")).first()["n"] or 0
+
+
 def _item_blocks(benchmark: DataFrame) -> Iterator[list[tuple[str, str]]]:
     items = benchmark.select(F.coalesce(F.col("item_id").cast("string"), F.lit("null")).alias("item_id"), F.col("text").cast("string").alias("text")).filter("text is not null")
     block, size = [], 0
@@ -201,6 +207,8 @@ def _counted(texts: DataFrame, tokens: list[Broadcast]) -> dict[int, dict[int, n
 
 def annotate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """``docs`` with n_words, n_hit, n_items (long) and items (array of the item ids, sorted as strings)."""
+    if _item_bytes(benchmark) > INDEX_BYTES:
+        return decontam_join.annotate(docs, benchmark, text_col, keep_text, WINDOW, TOKEN_WORDS)
     spark = docs.sparkSession
     store.ship_package(spark)
     sc = spark.sparkContext

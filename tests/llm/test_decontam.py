@@ -3,7 +3,7 @@ import re
 
 import pytest
 
-from tamarack.llm import decontam
+from tamarack.llm import decontam, decontam_join
 
 DOCS, ITEMS = "doc_id long, text string", "item_id long, text string"
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -35,7 +35,13 @@ def got(docs, items):
     return sorted(repr(tuple(r)) for r in decontam.contamination(docs, items).collect())
 
 
-def test_whole_tables(spark, sf):
+@pytest.fixture(params=["index", "join"])
+def way(request, monkeypatch):
+    if request.param == "join":
+        monkeypatch.setattr(decontam, "INDEX_BYTES", -1)
+
+
+def test_whole_tables(spark, sf, way):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
     items = spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text")
     want = brute([tuple(r) for r in docs.collect()], [tuple(r) for r in items.collect()])
@@ -49,16 +55,26 @@ CASES = [
 ]
 
 
+ODD_ITEMS = [(10, LETTERS), (9, LETTERS), (9, "zwei wörter"), (2, None), (3, "?!"), (4, "the " * 11), (None, "solo"), (5, "È é"), (10, LETTERS)]
+
+
 @pytest.mark.parametrize("block", [1, 1 << 20])
-def test_odd_rows(spark, monkeypatch, block):
+def test_odd_rows_by_blocks(spark, monkeypatch, block):
     monkeypatch.setattr(decontam, "BLOCK_ITEM_BYTES", block)
-    items = [(10, LETTERS), (9, LETTERS), (9, "zwei wörter"), (2, None), (3, "?!"), (4, "the " * 11), (None, "solo"), (5, "È é"), (10, LETTERS)]
-    assert got(spark.createDataFrame(CASES, DOCS), spark.createDataFrame(items, ITEMS)) == brute(CASES, items)
+    assert got(spark.createDataFrame(CASES, DOCS), spark.createDataFrame(ODD_ITEMS, ITEMS)) == brute(CASES, ODD_ITEMS)
+
+
+@pytest.mark.parametrize("bits", [8, 27])
+def test_odd_rows_by_join(spark, monkeypatch, bits):
+    """Also with a bit table that lets nearly everything through."""
+    monkeypatch.setattr(decontam, "INDEX_BYTES", -1)
+    monkeypatch.setattr(decontam_join, "FILTER_BITS", bits)
+    assert got(spark.createDataFrame(CASES, DOCS), spark.createDataFrame(ODD_ITEMS, ITEMS)) == brute(CASES, ODD_ITEMS)
 
 
-def test_empty_tables_and_clashing_columns(spark):
+def test_empty_tables_and_clashing_columns(spark, way):
     none = spark.createDataFrame([], ITEMS)
     assert got(spark.createDataFrame(CASES, DOCS), none) == brute(CASES, [])
     assert got(spark.createDataFrame([], DOCS), spark.createDataFrame([(1, "a")], ITEMS)) == []
-    docs = spark.createDataFrame([(1, "solo", 3), (2, "duo", 4)], DOCS + ", n_hit int")
-    assert [tuple(r) for r in decontam.clean(docs, spark.createDataFrame([(1, "solo")], ITEMS)).collect()] == [(2, "duo", 4)]
+    docs = spark.createDataFrame([(1, "solo", 3, 5), (2, "duo", 4, 6)], DOCS + ", n_hit int, _rid int")
+    assert [tuple(r) for r in decontam.clean(docs, spark.createDataFrame([(1, "solo")], ITEMS)).collect()] == [(2, "duo", 4, 6)]
