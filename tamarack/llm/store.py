@@ -19,6 +19,8 @@ import zipfile
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tamarack.llm.textkit import release as release_python
+
 _TABLES: dict[str, list[tuple[SparkSession, str]]] = {}
 _SHIPPED: set[str] = set()
 _SCOPE = ["session"]
@@ -72,6 +74,13 @@ def drop_scope(scope: str) -> None:
         fs.delete(p, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Hands back what finished work left in the driver; the collection also has Spark drop broadcasts and
+    shuffle files that nothing refers to any more.  For between the stages of a long job."""
+    release_python()
+    spark.sparkContext._jvm.java.lang.System.gc()
+
+
 @atexit.register
 def _drop_all() -> None:
     for scope in list(_TABLES):

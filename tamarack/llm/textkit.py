@@ -26,6 +26,14 @@ NONSPACE = np.ones(256, bool)
 NONSPACE[[9, 10, 11, 12, 13, 32]] = False
 
 
+def release() -> None:
+    """Hands memory that Python, Arrow and the allocator keep for later back to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
+        trim(0)
+
+
 def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` for mapInArrow that hands freed memory back when a task ends: workers live on, and what
     one operator's workers keep is missing to the next one's."""
@@ -34,10 +42,7 @@ def tidy(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) ->
         try:
             yield from run(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            if (trim := getattr(ctypes.CDLL(None), "malloc_trim", None)) is not None:
-                trim(0)
+            release()
 
     return tidied
 
