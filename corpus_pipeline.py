@@ -26,10 +26,12 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def _stage(spark: SparkSession, number: int):
-    """Drops the temporary tables of the stage before, whose result is written by now, and opens a scope for this one's.
+    """Drops the temporary tables of the stage before, whose result is written by now, frees what it left in the driver
+    (one JVM plans hundreds of queries, and its heap grew with garbage alone), and opens a scope for this stage's tables.
 
     Stages' results are written with zstd, whose codec needs no direct buffers beside the executors' heap."""
     store.drop_scope(f"stage {number - 1}")
+    store.release(spark)
     spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
     return store.in_scope(f"stage {number}")
 
