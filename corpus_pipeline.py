@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tamarack.llm import bpe, decontam, exact_dedup, minmax, store, toxicity
 
+BATCH_ROWS = 2000
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -29,10 +30,12 @@ def _stage(spark: SparkSession, number: int):
     """Drops the temporary tables of the stage before, whose result is written by now, frees what it left in the driver
     (one JVM plans hundreds of queries, and its heap grew with garbage alone), and opens a scope for this stage's tables.
 
-    Stages' results are written with zstd, whose codec needs no direct buffers beside the executors' heap."""
+    Stages' results are written with zstd, whose codec needs no direct buffers beside the executors' heap. Texts go to and from
+    Python BATCH_ROWS at a time, for the operators work in blocks of 2 MB, and a batch is held several times over outside the heap."""
     store.drop_scope(f"stage {number - 1}")
     store.release(spark)
     spark.conf.set("spark.sql.parquet.compression.codec", "zstd")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return store.in_scope(f"stage {number}")
 
 
